@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, language, quality, toxicity, vectors
+from . import bpe, decontaminate, html, jaccard, language, quality, suffix, toxicity, urls, vectors
 from .common import table
 
 
@@ -13,6 +13,14 @@ def _remainder(key: str, n: int):
     return F.crc32(F.col(key).cast("string")) % n
 
 
+#: The rules of op3: (verdict, host/path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder("doc_id", 3) == 1
@@ -21,6 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +54,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -61,12 +82,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_urls": op3_urls,
+    "op4_jaccard": op4_jaccard,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_suffix": op7_suffix,
     "op8_vectors": op8_vectors,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
 }
 
+#: SQL can't express the learnt models, the components over an exact similarity
+#: join, token ids or block rules, and is too slow on whole tables for the
+#: windows of op1 and the strings of op7: tests/llm holds those to brute force.
 ORACLE_SQL: dict[str, str] = {}
