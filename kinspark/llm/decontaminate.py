@@ -126,7 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     held = templated(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", spans)
     found = F.concat(*[counting(f"w{n}", n) for n in spans]) if spans else F.array().cast("array<bigint>")
-    held = held.select("id", F.explode(found).alias("hash"))
+    # explode() would have the optimizer push a filter on the arrays' size below, and build them once more for it
+    held = held.select("id", F.explode_outer(found).alias("hash")).filter("hash is not null")
     pairs = held.join(small(pieces), "hash")
     pairs = pairs.groupBy("id", "item").agg(F.count_distinct("hash").alias("n_windows"), F.first("total").alias("total"))
     pairs = scratch.write(pairs.filter(F.col("n_windows") >= COVERAGE * F.col("total")), "pairs")

@@ -70,7 +70,8 @@ def with_grams(df: DataFrame, text: str) -> DataFrame:
     out = df.withColumn("letters", letters).withColumn("runs", F.col("letters"))
     for k in range(1, ORDER + 1):
         out = out.withColumn("runs", F.zip_with("runs", F.slice("letters", k + 1, F.size("letters")), lambda a, b: F.concat(a, b)))
-    return out.withColumn("gram", F.explode(F.filter("runs", F.isnotnull))).drop("letters", "runs")
+    # explode() would have the optimizer push a filter on the arrays' size below, and build them once more for it
+    return out.withColumn("gram", F.explode_outer(F.filter("runs", F.isnotnull))).filter("gram is not null").drop("letters", "runs")
 
 
 def tails(gram: Column) -> Column:
