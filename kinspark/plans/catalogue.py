@@ -1,6 +1,6 @@
-"""Registry of the lineage queries and their DuckDB SQL."""
+"""All lineage queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import mixture_queries, name_queries, table_queries, zoo_queries  # noqa: F401  (they register themselves)
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
