@@ -59,6 +59,13 @@ def cosine(a, b) -> Column:
     return _ratio(dot(a, b), norm(a) * norm(b), (F.size(a) == F.size(b)) & (F.size(a) > 0))
 
 
+def unit(a) -> Column:
+    """An array over its norm; zeros without a finite one, so that products with it are the 0 that similarity has then."""
+    a = _col(a)
+    scale = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(a, scale, lambda x, s: F.when((s > 0) & (s < float("inf")), x / s).otherwise(0.0))
+
+
 def pearson(a, b) -> Column:
     a, b = _col(a), _col(b)
     x, y = centred(a), centred(b)

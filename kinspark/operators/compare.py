@@ -56,34 +56,57 @@ def gate_columns(both: DataFrame) -> DataFrame:
     )
 
 
-def spectra_signal(a: Column, b: Column) -> tuple[Column, Column]:
-    """Mean over layers of the correlation of log spectra, and of their distance; null without a comparable layer."""
-    layers = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda s: F.least(F.size(s["x"]), F.size(s["y"])) >= 4)
+def prepared(roles: DataFrame) -> DataFrame:
+    """Roles with what pairs need, made once for each model: unit arrays, whose products are the similarities.
+
+    Correlations come from centred units, cosines from plain ones; spectra are
+    logarithms, centred for each layer.
+    """
+    out = roles.withColumn("logs", F.transform("spectra", expr.log_floor))
+    centred = [F.transform("logs", expr.centred).alias("log_c"), expr.centred("sigma").alias("sigma_c"), expr.centred("norms").alias("norms_c")]
+    out = out.select("model_id", "role", "vector", "pcs", "logs", *centred)
+    return out.select(
+        "model_id", "role", "logs", F.transform("log_c", expr.unit).alias("spectra"), expr.unit("sigma_c").alias("sigma"),
+        expr.unit("norms_c").alias("norms"), expr.unit("vector").alias("vector"), expr.unit("pcs").alias("pcs"),
+    )
+
+
+def spectra_signals() -> tuple[Column, Column]:
+    """Mean over comparable layers (four values or more) of the correlation of log spectra, and of their distance; null without one."""
+    layers = F.arrays_zip(F.col("a_spectra").alias("u"), F.col("b_spectra").alias("v"), F.col("a_logs").alias("x"), F.col("b_logs").alias("y"))
+    layers = F.filter(layers, lambda s: F.least(F.size(s["x"]), F.size(s["y"])) >= 4)
 
     def cut(s: Column, name: str) -> Column:
-        return F.slice(expr.log_floor(s[name]), 1, F.least(F.size(s["x"]), F.size(s["y"])))
+        return F.slice(s[name], 1, F.least(F.size(s["x"]), F.size(s["y"])))
+
+    def one(s: Column) -> Column:
+        return F.when(F.size(s["x"]) == F.size(s["y"]), expr.clip1(expr.dot(s["u"], s["v"]))).otherwise(expr.pearson(cut(s, "x"), cut(s, "y")))
+
+    def apart(s: Column) -> Column:
+        squares = F.zip_with(cut(s, "x"), cut(s, "y"), lambda p, q: (p - q) * (p - q))
+        return F.sqrt(expr.mean(squares))
 
-    r = expr.mean(F.transform(layers, lambda s: expr.pearson(cut(s, "x"), cut(s, "y"))))
-    d = expr.mean(F.transform(layers, lambda s: expr.log_distance(s["x"], s["y"])))
-    return r, d
+    return expr.mean(F.transform(layers, one)), expr.mean(F.transform(layers, apart))
 
 
 def role_signals(gated: DataFrame, roles: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """One row for each pair and shared role: the signals that the gates leave, null where one isn't comparable."""
-    a = roles.select(F.col("model_id").alias("suspect"), "role", *[F.col(c).alias(f"a_{c}") for c in ("sigma", "norms", "vector", "pcs", "spectra")])
-    b = (roles if references is None else references).select(F.col("model_id").alias("candidate"), "role", *[F.col(c).alias(f"b_{c}") for c in ("sigma", "norms", "vector", "pcs", "spectra")])
+    """One row for each pair and shared role of prepared roles: the signals that the gates leave, null where one isn't comparable."""
+    names = ("sigma", "norms", "vector", "pcs", "spectra", "logs")
+    a = roles.select(F.col("model_id").alias("suspect"), "role", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = (roles if references is None else references).select(F.col("model_id").alias("candidate"), "role", *[F.col(c).alias(f"b_{c}") for c in names])
     both = gated.filter("layers_match").join(a, "suspect").join(b, ["candidate", "role"])
     equal = {c: F.size(f"a_{c}") == F.size(f"b_{c}") for c in ("sigma", "norms", "vector", "pcs")}
-    r, d = spectra_signal(F.col("a_spectra"), F.col("b_spectra"))
+    product = {c: expr.clip1(expr.dot(f"a_{c}", f"b_{c}")) for c in equal}
+    r, d = spectra_signals()
     deep = F.col("shape_compatible")
     return both.select(
         "suspect",
         "candidate",
         "role",
-        F.when(equal["sigma"] & (F.size("a_sigma") >= 3), expr.pearson("a_sigma", "b_sigma")).alias("sigma_r"),
-        F.when(equal["vector"], expr.cosine("a_vector", "b_vector")).alias("vector_cos"),
-        F.when(equal["vector"] & equal["norms"] & (F.size("a_norms") >= 3), expr.pearson("a_norms", "b_norms")).alias("vector_norm_r"),
-        F.when(deep & F.col("seed_match") & equal["pcs"], expr.cosine("a_pcs", "b_pcs")).alias("pcs_cos"),
+        F.when(equal["sigma"] & (F.size("a_sigma") >= 3), product["sigma"]).alias("sigma_r"),
+        F.when(equal["vector"], product["vector"]).alias("vector_cos"),
+        F.when(equal["vector"] & equal["norms"] & (F.size("a_norms") >= 3), product["norms"]).alias("vector_norm_r"),
+        F.when(deep & F.col("seed_match") & equal["pcs"], product["pcs"]).alias("pcs_cos"),
         F.when(deep, r).alias("spectra_r"),
         F.when(deep, d).alias("spectra_logdist"),
     )

@@ -180,6 +180,6 @@ def _alphas(spark, sf_dir):
     return _fit(spark, sf_dir, ["target"]).join(z, "target").select("target", F.inline(pairs))
 
 
-@query("mix_yaml", f"WITH {SAMPLES}, {_fit2('target')}, w AS (SELECT f.target, z.parent, f.a AS alpha FROM f2g f JOIN zoo z ON z.model_id = f.target UNION ALL SELECT f.target, z.parent2, 1 - f.a FROM f2g f JOIN zoo z ON z.model_id = f.target) SELECT target, 'merge_method: linear' || chr(10) || 'models:' || chr(10) || string_agg('  - model: ' || parent || chr(10) || '    parameters:' || chr(10) || '      weight: ' || printf('%.4f', round(alpha, 6)), chr(10) ORDER BY parent::VARCHAR) || chr(10) || 'dtype: bfloat16' || chr(10) AS yaml FROM w GROUP BY target")
+@query("mix_yaml", f"WITH {SAMPLES}, {_fit2('target')}, w AS (SELECT f.target, z.parent, f.a AS alpha FROM f2g f JOIN zoo z ON z.model_id = f.target UNION ALL SELECT f.target, z.parent2, 1 - f.a FROM f2g f JOIN zoo z ON z.model_id = f.target) SELECT target, 'merge_method: linear' || chr(10) || 'models:' || chr(10) || string_agg('  - model: ' || parent || chr(10) || '    parameters:' || chr(10) || '      weight: ' || printf('%.4f', alpha), chr(10) ORDER BY parent::VARCHAR) || chr(10) || 'dtype: bfloat16' || chr(10) AS yaml FROM w GROUP BY target")
 def mix_yaml(spark, sf_dir):
-    return mixture.mix_yaml(_alphas(spark, sf_dir).withColumn("alpha", R6("alpha")), ["target"], "parent", "alpha")
+    return mixture.mix_yaml(_alphas(spark, sf_dir), ["target"], "parent", "alpha")

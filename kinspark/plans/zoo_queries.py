@@ -32,8 +32,8 @@ def _gated(spark, sf_dir):
 
 def _signals(spark, sf_dir):
     zoo = bridge.zoo(spark, sf_dir)
-    bases = F.broadcast(bridge.zoo_roles(zoo.filter("kind = -1")))
-    return compare.role_signals(_gated(spark, sf_dir), bridge.zoo_roles(zoo.filter("kind >= 0")), bases)
+    bases = F.broadcast(compare.prepared(bridge.zoo_roles(zoo.filter("kind = -1"))))
+    return compare.role_signals(_gated(spark, sf_dir), compare.prepared(bridge.zoo_roles(zoo.filter("kind >= 0"))), bases)
 
 
 def _scored(spark, sf_dir):
