@@ -63,6 +63,12 @@ class Scratch:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def small(self, df: DataFrame, size: int = 32 << 20) -> DataFrame:
+        """A written table, to be broadcast if its files have at most `size` bytes."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return F.broadcast(df) if found <= size else df
+
     def release(self) -> None:
         """Let Spark remove the shuffle files of plans that are finished."""
         import gc
@@ -105,10 +111,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; those of a slice's length are remembered."""
+    known, size = process_cache(), 2 * SLICE_BYTES
+    if n <= size and ("powers", base) in known:
+        return known["powers", base][: max(n, 1)]
+    out = np.full(size if n <= size else n, base, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.cumprod(out, dtype=np.uint64)
+    if n <= size:
+        known["powers", base] = out
+    return out[: max(n, 1)]
 
 
 #: An odd multiplier and its inverse modulo 2**64, for polynomial hashes of byte strings.
@@ -207,17 +219,34 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def labelled_sample(df: DataFrame, key: str, group: str, rows: int, text: str, size: int) -> DataFrame:
-    """About `rows` rows and at most about `size` bytes of text of each group, chosen by a hash of the key.
+def labelled_sample(df: DataFrame, key: str, group: str, rows: int, text: str | None = None, size: int = 0) -> DataFrame:
+    """About `rows` rows and, given a text, at most about `size` bytes of it, of each group, chosen by a hash of the key.
 
     The bound holds whatever the table's size: one aggregate counts the groups,
     and each row is then kept by its own hash, so no group meets in one task.
     """
     from functools import reduce
 
-    counts = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).collect()
+    weight = F.sum(F.octet_length(text)) if text else F.lit(0)
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), weight.alias("b")).collect()
     share = F.lit(0)
     for c in counts:
-        part = min(1.0, rows / max(1, c["n"]), size / max(1, c["b"] or 1))
+        part = min(1.0, rows / max(1, c["n"]), size / max(1, c["b"]) if text and c["b"] else 1.0)
         share = F.when(F.col(group).eqNullSafe(F.lit(c[group])), F.lit(int(part * 1_000_000))).otherwise(share)
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, size: int):
+    """An Arrow table (k, x, y) of a bounded sample of texts with a label of 0 or 1, in the order of their keys.
+
+    The labels are sampled before they meet the texts, so that the texts are
+    read once and don't move; each label has about `rows` rows and `size` bytes.
+    """
+    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and k is not null")
+    marks = labelled_sample(marks.groupBy("k").agg(F.max("y").alias("y")), "k", "y", rows)  # bounded by `rows`, so it may be broadcast
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("x")).join(F.broadcast(marks), "k")
+    scratch = Scratch(docs.sparkSession, "sample")
+    held = scratch.write(texts, "texts")
+    out = labelled_sample(held, "k", "y", rows, "x", size).select("k", "x", "y").toArrow().sort_by("k")
+    scratch.drop(held)
+    return out

@@ -24,7 +24,7 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the factorization machine rejects."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     return _without(docs, toxicity.score(docs, model).filter(F.col("score") >= toxicity.THRESHOLD), "toxic")
 
 

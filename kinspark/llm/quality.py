@@ -17,9 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_batches, labelled_sample, slices, spread, text_bytes
+from .common import bounded_batches, labelled_texts, slices, spread, text_bytes
 
 #: Bounds of the training sample for each label: rows, and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 6 << 20
@@ -155,10 +154,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> ByteNetwork
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> ByteNetwork:
     """Fit on a sample of labelled texts that SAMPLE_ROWS and SAMPLE_BYTES bound for each label."""
-    labels = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and k is not null")
-    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    both = texts.join(labels.groupBy("k").agg(F.max("y").alias("y")), "k")
-    rows = labelled_sample(both, "k", "y", SAMPLE_ROWS, "x", SAMPLE_BYTES).select("x", "y", "k").toArrow().sort_by("k")
+    rows = labelled_texts(docs, labels, key, text, label, SAMPLE_ROWS, SAMPLE_BYTES)
     data, offsets = text_bytes(rows.column("x"))
     return fit(data, offsets, rows.column("y").to_numpy())
 

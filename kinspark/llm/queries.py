@@ -24,7 +24,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder("doc_id", 3) == 1
-    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
@@ -49,7 +49,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder("doc_id", 5) == 0
-    model = quality.train(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    model = quality.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 

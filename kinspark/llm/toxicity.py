@@ -21,17 +21,16 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import HashIndex, Rolling, bounded_batches, labelled_sample, slices, text_bytes
+from .common import HashIndex, Rolling, bounded_batches, labelled_texts, slices, text_bytes
 
 #: Bounds of the training sample for each label: rows, and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
-#: Texts of the sample that must have a term before it gets weights; factors of each term.
+#: Texts of the sample that must have a term before it gets weights; factors of each term; mini-batches, their size and rate.
 LEAST_TEXTS, FACTORS = 4, 4
-EPOCHS, RATE = 6, 0.1
+STEPS, BATCH, RATE = 375, 128, 0.1
 #: Shrinkage of each weight in a step (towards 0, as an L1 penalty), so that common terms of long texts add up to nothing.
-SHRINK = 2e-3
+SHRINK = 3e-3
 #: Probability from which a text counts as toxic.
 THRESHOLD = 0.7
 
@@ -119,10 +118,10 @@ def fit(data: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Factorizati
     gw, gv, bias, gb = np.full(len(keys), 1e-3), np.full(v.shape, 1e-3), 0.0, 1e-3
     weight = np.where(label == 1, n / (2 * (label == 1).sum()), n / (2 * (label == 0).sum()))
     first = np.searchsorted(who, np.arange(n + 1))
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // n)):
         order = random.permutation(n)
-        for i in range(0, n, 128):
-            rows = order[i : i + 128]
+        for i in range(0, n, BATCH):
+            rows = order[i : i + BATCH]
             lengths = first[rows + 1] - first[rows]
             pick = np.repeat(first[rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             x, t = np.repeat(np.arange(len(rows)), lengths), at[pick]
@@ -167,10 +166,7 @@ def calibrate(z: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> FactorizationMachine:
     """Fit on a sample of labelled texts that SAMPLE_ROWS and SAMPLE_BYTES bound for each label."""
-    labels = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and k is not null")
-    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    both = texts.join(labels.groupBy("k").agg(F.max("y").alias("y")), "k")
-    rows = labelled_sample(both, "k", "y", SAMPLE_ROWS, "x", SAMPLE_BYTES).select("x", "y", "k").toArrow().sort_by("k")
+    rows = labelled_texts(docs, labels, key, text, label, SAMPLE_ROWS, SAMPLE_BYTES)
     data, offsets = text_bytes(rows.column("x"))
     return fit(data, offsets, rows.column("y").to_numpy())
 
