@@ -6,23 +6,25 @@ a smaller key is removed.
 Sorting all suffixes of a corpus would move many times its size, so the suffixes
 are first narrowed to those that can matter, without loss.  Anchors, the least
 hash of the GRAM-byte strings in each window of SPAN bytes, are a cover: equal
-strings of SPAN bytes have the same anchor at the same place.  Only the
-surroundings of anchors that texts share go on, each distinct one once with the
-least document that has it.  They are dealt out by anchor, and each task sorts
-the suffixes of its share by the difference-cover algorithm: it sorts the
-triples at the places that are no multiples of three, recurses on their names,
-sorts the other suffixes by a letter and the rank after it, merges both and
-compares the first SPAN bytes of neighbours.  Runs of equal prefixes give the
-least document of each string, which the surroundings' members then look up.
-
-Equal texts are one class from the start: only the first of them is searched,
-and the others lose all their bytes if they have SPAN or more.  Classes go by two
-hashes of the text, together 96 bits; strings are compared byte by byte.
+strings of SPAN bytes have the same anchor at the same place.  An anchor's
+surroundings are all the strings of SPAN bytes that hold it.  Documents with the
+same surroundings of an anchor lose them to the first of them; that needs hashes
+alone, and settles copies and the inside of long passages.  Where an anchor has
+several surroundings, as at the ends of passages, the first document of each
+sends its bytes.  These are dealt out by anchor, and each task sorts the suffixes
+of its share by the difference-cover algorithm: it sorts the triples at the
+places that are no multiples of three, recurses on their names, sorts the other
+suffixes by a letter and the rank after it, merges both and compares the first
+SPAN bytes of neighbours.  Runs of equal prefixes give the least document of each
+string.
+
+Surroundings go by 64-bit hashes beside the anchor's own 32 or more bits;
+sorted strings are compared byte by byte.
 
 Defined results: a null text is empty; texts of fewer than SPAN bytes stay whole;
-matches never cross documents; rows with the same key are one document to each
-other (no row loses bytes to another with its key); extra columns are left out;
-an empty table gives an empty table.
+matches never cross documents; rows with the same key and text lose nothing to
+each other; a row without a key stays whole; extra columns are left out; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, bounded_batches, slices, spread, text_bytes
+from .common import Rolling, Scratch, bounded_batches, mix64, slices, spread, text_bytes
 from .jaccard import GATHER, Gather
 
 SPAN, GRAM = 50, 24
@@ -42,7 +44,7 @@ BUCKET, SORTED, CROWD = 1 << 20, 1 << 20, 20_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash) of the anchors of texts laid end to end; two MB at most, or one text."""
+    """(text number, place, hash) of the anchors of texts laid end to end; a slice at most."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(data) - GRAM + 1
     if n < STARTS:
@@ -65,26 +67,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text, place, h[place]
 
 
-def anchor_ids(h: np.ndarray, bits: int) -> np.ndarray:
-    """The first 32 + bits bits of hashes."""
-    return (h >> np.uint64(32 - bits)).astype(np.int64)
-
-
 def _anchors(bits: int):
+    """By bucket of the hash: the anchors, hashes of their surroundings, documents and places."""
+
     def run(batches):
         import pyarrow as pa
 
-        def short(batch):
-            low = [(np.frombuffer(x, np.uint64) >> np.uint64(32 - bits)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary()), batch.column(2)], names=["bucket", "h", "k"])
+        def short(r):
+            low = [(np.frombuffer(x, np.uint64) >> np.uint64(32 - bits)).astype(np.uint32).tobytes() for x in r.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([r.column(0), pa.array(low, pa.binary()), *r.columns[2:]], names=["bucket", *"hkmp"])
 
         gather = Gather(bits)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            ids = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets):
-                text, _, h = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                gather.add(h, keys[a + text])
+                part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                text, place, h = anchors(part, ends)
+                left, right = np.maximum(place - STARTS + 1, ends[text]), np.minimum(place + SPAN, ends[text + 1])
+                around = mix64(Rolling(part).ranges(left, right) + (place - left).astype(np.uint64))
+                gather.add(h, around, ids[a + text], (place - ends[text]).astype(np.uint32))
                 if gather.bytes > GATHER:
                     yield from map(short, gather.rows())
         yield from map(short, gather.rows())
@@ -92,52 +94,61 @@ def _anchors(bits: int):
     return run
 
 
-def _shared(key, rows):
-    """Each class's anchors that another class has, too."""
+def _settle(key, rows):
+    """By document: places whose surroundings an earlier document has, and places and anchors of first surroundings beside others."""
     import pyarrow as pa
 
-    h, k = (np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()]) for c, t in (("h", np.uint32), ("k", np.int64)))
-    order = np.lexsort((k, h))
-    h, k = h[order], k[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-    h, k = h[new], k[new]
-    same = h[1:] == h[:-1]
-    hot = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    h, k = h[hot].astype(np.int64) | (np.int64(key[0].as_py()) << np.int64(32)), k[hot]
-    order = np.argsort(k, kind="stable")
-    h, k = h[order], k[order]
-    k, first = np.unique(k, return_index=True)
-    ends = [*first[1:], len(h)]
-    return pa.table({"k1": k, "own": pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
-
-
-def _surroundings(bits: int):
-    """(anchor, bytes around it, bytes before it, document, place) of the shared anchors of each text."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids, own = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                text, place, h = anchors(part, ends)
-                h, hot = anchor_ids(h, bits), np.zeros(len(place), bool)
-                first = np.searchsorted(text, np.arange(b - a + 1))
-                for k in range(b - a):
-                    hot[first[k] : first[k + 1]] = np.isin(h[first[k] : first[k + 1]], np.frombuffer(b"".join(own[a + k]), np.int64))
-                text, place, h = text[hot], place[hot], h[hot]
-                left, right = np.maximum(place - STARTS + 1, ends[text]), np.minimum(place + SPAN, ends[text + 1])
-                around = pa.Array.from_buffers(
-                    pa.binary(), len(h), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(right - left)]).astype(np.int32)), pa.py_buffer(part[spread(left, right - left)])]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), around, pa.array((place - left).astype(np.int32)), pa.array(ids[a + text]), pa.array(left - ends[text])],
-                    names=["anchor", "around", "before", "id", "left"],
-                )
+    kinds = (("h", np.uint32), ("k", np.uint64), ("m", np.int64), ("p", np.uint32))
+    h, around, doc, place = (np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()]) for c, t in kinds)
+    order = np.lexsort((place, doc, around, h))
+    h, around, doc, place = h[order], around[order], doc[order], place[order]
+    anchor = np.concatenate([[True], h[1:] != h[:-1]])
+    group = anchor | np.concatenate([[True], around[1:] != around[:-1]])
+    least = doc[group][np.cumsum(group) - 1]
+    lost = doc > least
+    number = np.cumsum(anchor) - 1
+    several = (np.bincount(number, group)[number] > 1) & group  # one of each group, the first
+    low, high = (f.reduceat(least, np.flatnonzero(anchor))[number] for f in (np.minimum, np.maximum))
+    several &= low < high
+    out = []
+    for what in (lost, several):
+        k = np.flatnonzero(what)
+        k = k[np.argsort(doc[k], kind="stable")]
+        ids, first = np.unique(doc[k], return_index=True)
+        out += [(int(i), k[a:b], what is lost) for i, a, b in zip(ids, first, [*first[1:], len(k)])]
+    full = h.astype(np.int64) | (np.int64(key[0].as_py()) << np.int64(32))
+    return pa.table(
+        {
+            "id": pa.array([i for i, _, _ in out], pa.int64()),
+            "lost": pa.array([place[k].tobytes() if x else None for _, k, x in out], pa.binary()),
+            "place": pa.array([None if x else place[k].tobytes() for _, k, x in out], pa.binary()),
+            "anchor": pa.array([None if x else full[k].tobytes() for _, k, x in out], pa.binary()),
+        }
+    )
+
+
+def _surroundings(batches):
+    """(anchor, bytes around it, bytes before it, document, first byte's place) for the places asked for."""
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        data, offsets = text_bytes(batch.column(1))
+        places = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in batch.column(2).to_pylist()]
+        found = np.concatenate([np.frombuffer(b"".join(x), np.int64) for x in batch.column(3).to_pylist()] or [np.zeros(0, np.int64)])
+        text = np.repeat(np.arange(len(ids)), [len(x) for x in places])
+        place = np.concatenate(places or [np.zeros(0, np.int64)]) + offsets[text]
+        left, right = np.maximum(place - STARTS + 1, offsets[text]), np.minimum(place + SPAN, offsets[text + 1])
+        for a in range(0, len(text), 50_000):
+            x = slice(a, a + 50_000)
+            size = right[x] - left[x]
+            around = pa.Array.from_buffers(
+                pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[spread(left[x], size)])]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[x]), around, pa.array((place - left)[x].astype(np.int32)), pa.array(ids[text[x]]), pa.array((left - offsets[text])[x])],
+                names=["anchor", "around", "before", "id", "left"],
+            )
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -223,56 +234,59 @@ def may_match(anchor: np.ndarray, around: list[bytes], before: np.ndarray) -> np
 
 
 def _sort(key, rows):
-    """The least document of every string in a bucket's surroundings, where it isn't that of the surrounding itself."""
+    """By document: the starts of strings in a bucket's surroundings that an earlier document has."""
     import pyarrow as pa
 
-    rows = rows.sort_by("anchor")
-    anchor, before, owner = (rows.column(c).to_numpy() for c in ("anchor", "before", "least"))
+    rows = rows.sort_by([("anchor", "ascending"), ("id", "ascending")])
+    anchor, before, owner, left = (rows.column(c).to_numpy() for c in ("anchor", "before", "id", "left"))
     around = rows.column("around").to_pylist()
     keep = np.flatnonzero(may_match(anchor, around, before)) if around else np.zeros(0, np.int64)
-    size = np.array([len(around[k]) for k in keep], np.int64)
-    done = np.cumsum(size)
-    who, start, least, a = [], [], [], 0
+    done = np.cumsum([len(around[k]) for k in keep])
+    docs, starts, a = [], [], 0
     while a < len(keep):
         b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + SORTED)))
         while b < len(keep) and anchor[keep[b]] == anchor[keep[b - 1]]:
             b += 1
-        t, s, m = least_owner([around[k] for k in keep[a:b]], owner[keep[a:b]])
-        who.append(keep[a + t])
-        start.append(s)
-        least.append(m)
+        part = keep[a:b]
+        text, start, least = least_owner([around[k] for k in part], owner[part])
+        less = least < owner[part][text]
+        docs.append(owner[part][text[less]])
+        starts.append(left[part][text[less]] + start[less])
         a = b
-    who, start, least = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, start, least))
-    less = least < owner[who]
-    return pa.table({"ref": rows.column("ref").to_numpy()[who[less]], "start": start[less], "least": least[less]})
+    docs, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts))
+    order = np.argsort(docs, kind="stable")
+    ids, first = np.unique(docs[order], return_index=True)
+    blobs = [starts[order[a:b]].astype(np.uint32).tobytes() for a, b in zip(first, [*first[1:], len(order)])]
+    return pa.table({"id": pa.array(ids, pa.int64()), "starts": pa.array(blobs, pa.binary())})
 
 
-def runs_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs (from, to) that strings of SPAN bytes at sorted starts cover."""
-    if not len(starts):
-        return starts, starts
-    head = np.concatenate([[True], starts[1:] > starts[:-1] + SPAN])
-    return starts[head], np.concatenate([starts[np.flatnonzero(head)[1:] - 1], starts[-1:]]) + SPAN
+def runs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs (from, to) that ranges cover."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    head = np.concatenate([[True], a[1:] > b[:-1]])
+    return a[head], b[np.concatenate([np.flatnonzero(head)[1:] - 1, [len(b) - 1]])]
 
 
 def _cut(batches):
-    """(id, n_bytes, n_removed, n_spans, kept bytes) from text, whether it is a later copy, and starts of repeats."""
+    """(id, n_bytes, n_removed, n_spans, kept bytes) from text, places of lost surroundings, and starts of lost strings."""
     import pyarrow as pa
 
     for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
         out = []
-        for text, copy, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if copy and len(raw) >= SPAN:
-                out.append((len(raw), len(raw), 1, b""))
+        for i, (lost, starts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            raw = data[offsets[i] : offsets[i + 1]]
+            if not lost and not starts:
+                out.append((len(raw), 0, 0, raw.tobytes()))
                 continue
-            a, b = runs_of(np.unique(np.array(found, np.int64)) if found else np.zeros(0, np.int64))
-            kept, at = [], 0
-            for x, y in zip(a.tolist(), b.tolist()):
-                kept.append(raw[at:x])
-                at = y
-            kept.append(raw[at:])
-            out.append((len(raw), int((b - a).sum()), len(a), b"".join(kept)))
+            p, s = (np.frombuffer(b"".join(x or []), np.uint32).astype(np.int64) for x in (lost, starts))
+            a, b = runs_of(np.concatenate([np.maximum(p - STARTS + 1, 0), s]), np.concatenate([np.minimum(p + SPAN, len(raw)), s + SPAN]))
+            gone = np.zeros(len(raw) + 1, np.int8)
+            gone[a], gone[b] = 1, -1
+            out.append((len(raw), int((b - a).sum()), len(a), raw[np.cumsum(gone[:-1]) == 0].tobytes()))
         n, removed, spans, kept = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
@@ -285,54 +299,50 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "suffix")
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = texts.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.hash("text"))
-    marks = scratch.write(keyed.select("id", "k1", "k2", F.octet_length("text").alias("size")), "marks")
-    classes = scratch.write(marks.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("size").alias("size")), "classes")
-    total = marks.agg(F.sum("size")).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions")) - 1
-    bits = max(least, int(total * 2 / (STARTS + 1) / BUCKET)).bit_length()
-
-    found = keyed.select("k1", "text").mapInArrow(_anchors(bits), "bucket bigint, h binary, k binary")
-    shared = scratch.write(found.groupBy("bucket").applyInArrow(_shared, "k1 bigint, own binary"), "shared")
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    keyed = texts.filter("id is not null")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(least - 1, int(total * 2 / (STARTS + 1) / BUCKET)).bit_length()
+
+    found = keyed.mapInArrow(_anchors(bits), "bucket bigint, h binary, k binary, m binary, p binary").groupBy("bucket")
+    settled = scratch.write(found.applyInArrow(_settle, "id bigint, lost binary, place binary, anchor binary"), "settled")
     del found
     scratch.release()
-    own = shared.groupBy("k1").agg(F.collect_list("own").alias("own")).join(classes, "k1").select("first", "own")
-    around = texts.join(own, texts.id == F.col("first"))
-    around = around.select("id", "text", "own").mapInArrow(_surroundings(bits), "anchor bigint, around binary, before int, id bigint, left bigint")
-    around = scratch.write(around, "around")
+    asked = settled.filter("place is not null").groupBy("id").agg(F.collect_list("place").alias("place"), F.collect_list("anchor").alias("anchor"))
+    asked = scratch.write(asked, "asked")
+    around = keyed.join(scratch.small(asked), "id").select("id", "text", "place", "anchor")
+    around = scratch.write(around.mapInArrow(_surroundings, "anchor bigint, around binary, before int, id bigint, left bigint"), "around")
+    del asked
     scratch.release()
 
-    once = around.groupBy("anchor", "around", "before").agg(F.min("id").alias("least"))
-    once = scratch.write(once.withColumn("ref", F.xxhash64("anchor", "before", "around")), "once")
-    many = once.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = scratch.write(many.filter(F.col("n") > CROWD), "crowded")
-    contexts = once.join(many.filter(F.col("n") <= CROWD), "anchor")
-    buckets = max(least + 1, int(around.count() * SPAN / (8 * SORTED)))
-    sorted_ = contexts.withColumn("bucket", F.pmod(F.hash("anchor"), F.lit(buckets))).groupBy("bucket")
-    repeats = sorted_.applyInArrow(_sort, "ref bigint, start bigint, least bigint")
-    if not crowded.isEmpty():  # anchors in very many surroundings: their strings are counted one by one
-        strings = once.join(crowded.select("anchor"), "anchor").withColumn("start", F.explode(F.expr(f"sequence(0, greatest(0, length(around) - {SPAN}))")))
-        strings = strings.filter(f"length(around) >= {SPAN}").select("ref", "start", "least", F.expr(f"substring(around, start + 1, {SPAN})").alias("string"))
-        lowest = scratch.write(strings.groupBy("string").agg(F.min("least").alias("low")), "lowest")
-        strings = strings.join(lowest, "string").filter("low < least").select("ref", F.col("start").cast("bigint"), F.col("low").alias("least"))
-        repeats = repeats.unionByName(strings)
-    repeats = repeats.groupBy("ref", "start").agg(F.min("least").alias("least"))
-    repeats = scratch.write(repeats.groupBy("ref").agg(F.collect_list(F.struct("start", "least")).alias("starts")), "repeats")
-    scratch.release()
-
-    # a string's least document: that of its surrounding, or of another surrounding with the string
-    member = around.withColumn("ref", F.xxhash64("anchor", "before", "around")).select("ref", "id", "left", F.length("around").alias("size"))
-    member = member.join(once.select("ref", "least"), "ref").join(repeats, "ref", "left")
-    member = member.filter((F.col("least") < F.col("id")) | F.col("starts").isNotNull())
-    every = F.expr(f"transform(sequence(0, size - {SPAN}), s -> left + s)")
-    some = F.expr("transform(filter(starts, s -> s.least < id), s -> left + s.start)")
-    member = member.filter(f"size >= {SPAN}").select("id", F.when(F.col("least") < F.col("id"), every).otherwise(some).alias("starts"))
-    starts = member.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    starts = scratch.write(starts, "starts")
+    crowds = scratch.write(around.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD), "crowds")
+    crowded = not crowds.isEmpty()
+    usual = around.join(crowds, "anchor", "left_anti") if crowded else around
+    buckets = max(least, int(around.count() * SPAN / (8 * SORTED)))
+    repeats = usual.withColumn("bucket", F.pmod(F.hash("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(_sort, "id bigint, starts binary")
+    repeats = repeats.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    if crowded:  # anchors in very many surroundings: their strings are counted one by one
+        strings = around.join(crowds, "anchor").filter(f"length(around) >= {SPAN}")
+        strings = strings.withColumn("s", F.explode(F.expr(f"sequence(0, length(around) - {SPAN})")))
+        strings = strings.select("id", (F.col("left") + F.col("s")).alias("start"), F.expr(f"substring(around, s + 1, {SPAN})").alias("string"))
+        lowest = scratch.write(strings.groupBy("string").agg(F.min("id").alias("low")), "lowest")
+        more = strings.join(lowest, "string").filter("low < id").groupBy("id").agg(F.collect_set("start").alias("all"))
+        more = more.mapInArrow(_packed, "id bigint, starts array<binary>")
+        repeats = repeats.unionByName(more).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    lost = settled.filter("lost is not null").groupBy("id").agg(F.collect_list("lost").alias("lost"))
+    state = scratch.write(lost.join(repeats, "id", "full"), "state")
     scratch.drop(around)
+    scratch.drop(settled)
     scratch.release()
-    copies = marks.join(classes.select("k1", "k2", "first"), ["k1", "k2"]).filter("id <> first").select("id").distinct().withColumn("copy", F.lit(True))
-    state = scratch.write(copies.join(starts, "id", "full"), "state")
-    out = texts.join(state, "id", "left").select("id", "text", "copy", "starts")
+    out = texts.join(scratch.small(state), "id", "left").select("id", "text", "lost", "starts")
     return out.mapInArrow(_cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", key)
+
+
+def _packed(batches):
+    """Lists of starts as one blob each."""
+    import pyarrow as pa
+
+    for batch in batches:
+        blobs = [[np.array(x, np.uint32).tobytes()] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.list_(pa.binary()))], names=["id", "starts"])
