@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str = "model_id", overwrite: bool = True) -> DataFrame:
@@ -60,12 +63,15 @@ class ReferenceStore:
 
     def models(self) -> DataFrame | None:
         v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
+        if not v:
+            return None
+        kept = self.spark.read.parquet(f"{self.path}/_versions").filter(F.col("version") == v).first()["schema"]  # an emptied store has no files to tell it
+        return self.spark.read.schema(StructType.fromJson(json.loads(kept))).parquet(f"{self.path}/v{v}")
 
     def _publish(self, df: DataFrame) -> int:
         v = self.version() + 1
         df.write.partitionBy("n_layers").parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(v,)], "version int").write.mode("append").parquet(f"{self.path}/_versions")
+        self.spark.createDataFrame([(v, df.schema.json())], "version int, schema string").write.mode("append").parquet(f"{self.path}/_versions")
         return v
 
     def add(self, rows: DataFrame, overwrite: bool = False) -> int:

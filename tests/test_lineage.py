@@ -208,3 +208,17 @@ def test_growth_adds_each_model_once(spark, tmp_path):
 def test_names(spark):
     got = spark.createDataFrame([("blk.3.attn_q.bias",), ("model.norm.weight",), ("xmodel.norm.weight",), ("model.layers.x.mlp.fc1.weight",)], "n string").select(names.canonical("n").alias("c")).select("c.*").collect()
     assert [tuple(r) for r in got] == [(3, "attn.q.bias"), (None, "norm.final"), (None, None), (None, None)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kinspark.__main__ import parser, run
+
+    checkpoint(tmp_path / "m", 5, layers=4)
+    session, store_path = LineageSession(spark, str(tmp_path / "s")), str(tmp_path / "s")
+    call = lambda *a: run(session, parser().parse_args(["--store", store_path, *a]))
+    assert call("add", str(tmp_path / "m"), "org/m") == 0
+    assert call("export", str(tmp_path / "out")) == 0
+    assert call("scan", str(tmp_path / "m"), "copy/m") == 0
+    assert "COPY" in capsys.readouterr().out
+    assert call("import", str(tmp_path / "out")) == 0 and "added 0, skipped 1" in capsys.readouterr().out
+    assert call("remove", "org/m") == 0 and call("remove", "org/m") == 1
