@@ -94,7 +94,39 @@ QUERIES = {
     "op10_html": op10_html,
 }
 
+_RULE = "CASE " + " ".join(
+    f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND path LIKE '/{r.partition('/')[2]}%' THEN '{r}'" for _, r in sorted(URL_RULES, key=lambda x: -len(x[1]))
+) + " END"
+_VERDICT = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in URL_RULES) + " END"
+
+
+def _chance(seen: str, of: str) -> str:
+    out = f"{1 / urls.ALPHABET}::DOUBLE"
+    for k in range(1, urls.ORDER + 2):
+        out = f"(({seen}{k} + {urls.MASS}::DOUBLE * {out}) / ({of}{k} + {urls.MASS}::DOUBLE))"
+    return out
+
+
+_WIDE = ", ".join(f"coalesce(max({c}) FILTER (k = {k}), 0)::DOUBLE AS {c}{k}" for c in ("ca", "na", "cb", "nb") for k in range(1, urls.ORDER + 2))
+
 #: SQL can't express the learnt models, the components over an exact similarity
 #: join, token ids or block rules, and is too slow on whole tables for the
 #: windows of op1 and the strings of op7: tests/llm holds those to brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_urls": f"""WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ru AS (SELECT *, {_RULE} AS rule, translate(host || path, '123456789', '000000000') AS shape FROM hp),
+ve AS (SELECT *, {_VERDICT} AS said FROM ru),
+sh AS (SELECT shape, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM ve GROUP BY shape),
+gr AS (SELECT shape, a, b, substr(repeat(chr(2), {urls.ORDER}) || shape || chr(3), i, {urls.ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, len(shape) + 2)) AS i FROM sh)),
+co AS (SELECT gram, sum(a) AS a, sum(b) AS b FROM gr GROUP BY gram),
+en AS (SELECT *, right(gram, k) AS tail FROM (SELECT *, unnest(range(1, {urls.ORDER + 2})) AS k FROM co)),
+se AS (SELECT tail, sum(a) AS ca, sum(b) AS cb FROM en WHERE a > 0 OR b > 0 GROUP BY tail),
+tt AS (SELECT left(tail, len(tail) - 1) AS context, len(tail) AS k, sum(ca) AS na, sum(cb) AS nb FROM se GROUP BY ALL),
+wi AS (SELECT gram, {_WIDE} FROM (SELECT en.gram, en.k, ca, cb, na, nb FROM en LEFT JOIN se USING (tail) LEFT JOIN tt ON tt.context = left(en.tail, en.k - 1) AND tt.k = en.k) GROUP BY gram),
+ra AS (SELECT gram, ln({_chance('ca', 'na')}) - ln({_chance('cb', 'nb')}) AS r FROM wi),
+sc AS (SELECT shape, avg(r) AS ratio, any_value(gr.a) AS a, any_value(gr.b) AS b FROM gr JOIN ra USING (gram) GROUP BY shape),
+mo AS (SELECT sum(a) AS na, sum(b) AS nb, sum(a * ratio) / sum(a) AS ma, sum(b * ratio) / sum(b) AS mb, sum(a * ratio * ratio) / sum(a) AS qa, sum(b * ratio * ratio) / sum(b) AS qb FROM sc),
+cu AS (SELECT CASE WHEN na > 0 AND nb > 0 THEN (ma * db + mb * da) / (da + db) END AS cut FROM (SELECT *, sqrt(greatest(0, qa - ma * ma)) + 1e-6 AS da, sqrt(greatest(0, qb - mb * mb)) + 1e-6 AS db FROM mo))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN ratio < cut THEN 'block' ELSE 'allow' END) AS verdict FROM ve LEFT JOIN sc USING (shape), cu""",
+}
