@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch sent to Python; texts average a few KB, so a batch stays a few MB.
 ARROW_ROWS = 1000
 #: Bytes of text worked on at once inside a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ SPAN, GRAM = 50, 24
 #: Starts of strings that hold an anchor, and bytes around it that they reach.
 STARTS = SPAN - GRAM + 1
 #: Anchors of one bucket, about; bytes whose suffixes are sorted at once; surroundings of one anchor that one task sorts.
-BUCKET, SORTED, CROWD = 1 << 20, 1 << 20, 20_000
+BUCKET, SORTED, CROWD = 1 << 19, 1 << 20, 20_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
