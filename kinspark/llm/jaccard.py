@@ -10,10 +10,10 @@ with a query by the summed minima of its coordinates and the node's largest.
 Pairs whose bound reaches the overlap that the threshold asks for are verified
 on the sets themselves.
 
-Pairs come in rounds: a class is first compared with the smallest class of its
-groups alone, linked classes melt into components, and only groups that still
-hold several components go on, with a few more partners a class, and at last
-with all partners that are left.  So no link between components can be
+Pairs come in rounds: a class is first compared with the smallest such partner
+of its groups alone, linked classes melt into components, and only groups that
+still hold several components go on, with a few more partners a class, and at
+last with all partners that are left.  So no link between components can be
 missed, while a group of thousands of near copies costs about one pair a class.
 
 Hashes have 64 bits, for shingles and for sets; equal hashes count as equal.
@@ -39,13 +39,15 @@ ABOVE, BELOW = 3, 4
 #: Documents from which a shingle counts as frequent; most frequent shingles that workers are told of (4 bytes each).
 FREQUENT, FREQUENT_MOST = 64, 1_000_000
 #: Postings of one bucket, about; rows up to which a side is broadcast; most members of a group on each side of a tile.
-BUCKET, BROADCAST_ROWS, TILE = 1 << 20, 1_000_000, 1024
-#: Partners of a class that its groups name in the rounds after the first; then all that are left.
-LIMITS = (4, 32)
+BUCKET, BROADCAST_ROWS, TILE = 1 << 19, 1_000_000, 512
+#: Partners of a class that a group names in the first rounds; then all that are left.
+#: Members of groups that one bucket of the search holds, about.
+SEARCHED = 25_000
+LIMITS = (1, 16)
 #: Classes beside one centre in one task of the verification.
 BESIDE = 256
 #: Bytes of blobs that a task gathers before it hands them on.
-GATHER = 16 << 20
+GATHER = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -53,8 +55,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle hash) of the distinct shingles of texts laid end to end, sorted."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash) of all shingles of texts laid end to end, by text."""
     n = len(offsets) - 1
     apart = np.full(len(data) + n, 32, np.uint8)
     apart[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = _LOWER[data]
@@ -63,19 +65,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     text = np.searchsorted(offsets + np.arange(n + 1), start, "right") - 1
     word = Rolling(apart).ranges(start, end)
     words = np.bincount(text, minlength=n)
-    first = np.cumsum(words) - words
-    out, who = [], []
-    for size in range(1, WORDS + 1):
-        texts = np.flatnonzero(words == size) if size < WORDS else np.flatnonzero(words >= WORDS)
-        at = first[texts] if size < WORDS else spread(first[texts], words[texts] - WORDS + 1)
-        h = np.full(len(at), size, np.uint64)
-        for k in range(size):
+    count = np.where(words >= WORDS, words - WORDS + 1, (words > 0).astype(words.dtype))
+    at = spread(np.cumsum(words) - words, count)
+    who = np.repeat(np.arange(n), count)
+    size = np.minimum(words, WORDS)[who]
+    h = size.astype(np.uint64)
+    for k in range(WORDS):
+        more = size > k
+        if more.all():
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ word[at + k])
-        out.append(h)
-        who.append(text[at])
-    h, who = np.concatenate(out), np.concatenate(who)
-    order = np.lexsort((h, who))
-    h, who = h[order], who[order]
+        else:
+            h[more] = mix64(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ word[at[more] + k])
+    return who, h
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash) of the distinct shingles of texts laid end to end, sorted."""
+    who, h = shingles(data, offsets)
+    ends = np.cumsum(np.bincount(who, minlength=len(offsets) - 1)).tolist()
+    for a, b in zip([0, *ends], ends):
+        h[a:b].sort()
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])]) if len(h) else np.zeros(0, bool)
     return who[new], h[new]
 
@@ -96,17 +105,6 @@ def set_parts(batches):
             yield (batch, a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
 
 
-def _sizes(kind):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch, a, b, who, h in set_parts(batches):
-            size, key = set_keys(who, h, b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(key)], names=["id", "n", "key"])
-
-    return run
-
-
 class Gather:
     """Arrays by bucket, handed on as rows (bucket, blob..) once they have GATHER bytes."""
 
@@ -127,27 +125,29 @@ class Gather:
             found, first = np.unique(bucket[order], return_index=True)
             ends = [*first[1:], len(order)]
             blobs = [pa.array([x[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in arrays]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *blobs], names=["bucket", *"hkn"[: len(blobs)]])
+            yield pa.RecordBatch.from_arrays([pa.array(found), *blobs], names=["bucket", *"hkmp"[: len(blobs)]])
         self.parts, self.bytes = [], 0
 
 
 def _all_shingles(bits: int):
-    def run(batches):
-        import pyarrow as pa
+    """The first 32 bits of the lower half of all shingles' hashes, by bucket: the first few in order are among them."""
 
+    def run(batches):
         gather = Gather(bits)
-        for *_, h in set_parts(batches):
-            gather.add(h)
-            if gather.bytes > GATHER:
-                yield from map(short, gather.rows())
-        yield from map(short, gather.rows())
-
-    def short(batch):
-        """The upper halves of the hashes alone."""
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in slices(offsets):
+                _, h = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h = h[h < np.uint64(1 << 63)]
+                gather.add(h, (h >> np.uint64(32)).astype(np.uint32))
+                if gather.bytes > GATHER:
+                    yield from map(last, gather.rows())
+        yield from map(last, gather.rows())
+
+    def last(batch):
         import pyarrow as pa
 
-        halves = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary())], names=["bucket", "h"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["bucket", "h"])
 
     return run
 
@@ -163,37 +163,53 @@ def _frequent(least: int):
 
 
 def _postings(bits: int, frequent):
-    """The first shingles of every set, frequent ones last in the order."""
+    """Two kinds of rows: a set's size, hash and count vector (id, n, key, cells), and by bucket the first shingles of sets, frequent ones last."""
 
     def run(batches):
+        import pyarrow as pa
+
+        def posted():
+            for r in gather.rows():
+                none = pa.nulls(len(r), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(r), pa.binary()), r.columns[0], *r.columns[2:]], names=NAMES)
+
         often, gather = frequent.value, Gather(bits)
-        for _, a, b, who, h in set_parts(batches):
+        for batch, a, b, who, h in set_parts(batches):
             size, key = set_keys(who, h, b - a)
             late = np.zeros(len(h), bool)
             if len(often):
                 short = (h >> np.uint64(32)).astype(np.uint32)
                 late = often[np.minimum(np.searchsorted(often, short), len(often) - 1)] == short
-            order = np.lexsort((h, late, who))  # within a text: rare before frequent, then by hash
-            need = size - -(-ABOVE * size // BELOW) + 1
-            rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            take = order[rank < np.repeat(need, size)]
-            gather.add(h[take], key[who[take]], size[who[take]].astype(np.uint32))
+            first = np.cumsum(size) - size
+            rare = np.concatenate([[0], np.cumsum(~late)])  # rank in a text: the rare in order, then the frequent in order
+            own, before = rare[first + size] - rare[first], rare[:-1] - rare[first][who]
+            rank = np.where(late, own[who] + np.arange(len(h)) - first[who] - before, before)
+            take = rank < (size - -(-ABOVE * size // BELOW) + 1)[who]
+            gather.add(h[take], (h[take] >> np.uint64(32 - bits)).astype(np.uint32), key[who[take]])
+            cells = [count_vector(h[x : x + n]) for x, n in zip(first.tolist(), size.tolist())]
+            none = pa.nulls(b - a, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(key), pa.array(cells, pa.binary()), pa.nulls(b - a, pa.int64()), none, none], names=NAMES
+            )
             if gather.bytes > GATHER:
-                yield from gather.rows()
-        yield from gather.rows()
+                yield from posted()
+        yield from posted()
 
     return run
 
 
+NAMES = ["id", "n", "key", "cells", "bucket", "h", "k"]
+
+
 def _groups(key, rows):
-    """Groups of classes with a common posting, those with the same members once; each member with the group's first that fits its size."""
+    """Groups of classes with a common posting, those with the same members once; 32 bits of the hash beside the bucket tell postings apart."""
     import pyarrow as pa
 
-    h, k, n = (np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()]) for c, t in (("h", np.uint64), ("k", np.int64), ("n", np.uint32)))
+    h, k = (np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()]) for c, t in (("h", np.uint32), ("k", np.int64)))
     order = np.lexsort((k, h))
-    h, k, n = h[order], k[order], n[order].astype(np.int64)
+    h, k = h[order], k[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-    h, k, n = h[new], k[new], n[new]
+    h, k = h[new], k[new]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     many = np.diff(np.concatenate([first, [len(h)]]))
     first, many = first[many > 1], many[many > 1]
@@ -205,23 +221,25 @@ def _groups(key, rows):
     _, once = np.unique(sign, return_index=True)
     keep = np.isin(group, once)
     at, group = at[keep], group[keep]
-    return pa.table({"sign": sign[group], "key": k[at], "n": n[at]})
+    return pa.table({"sign": sign[group], "key": k[at]})
 
 
 def cells_of(n: int) -> int:
-    """Cells that a set of n shingles is counted in: a power of two, about an eighth of n."""
-    return 1 << min(12, max(4, int(n // 8).bit_length()))
+    """Cells that a set of n shingles is counted in: a power of two, about a third of n."""
+    return 1 << min(14, max(4, int(n // 4).bit_length()))
 
 
-def count_vector(h: np.ndarray) -> np.ndarray:
+def count_vector(h: np.ndarray) -> bytes:
+    """A set's counts, in bytes, or in 32 bits each where a count needs more."""
     cells = cells_of(len(h))
-    return np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint16 if len(h) < 65536 else np.uint32)
+    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
 
 
 class RTree:
     """Count vectors under boxes of FAN children each; points sorted by size, so that boxes are narrow."""
 
-    FAN = 16
+    FAN = 32
 
     def __init__(self, points: np.ndarray, size: np.ndarray):
         self.order = np.argsort(size, kind="stable")
@@ -251,53 +269,111 @@ class RTree:
         return self.order[nodes]
 
 
-def folded(blob: bytes, wide: bool, cells: int) -> np.ndarray:
-    """A count vector with fewer cells."""
-    v = np.frombuffer(blob, np.uint32 if wide else np.uint16).astype(np.int64)
+def folded(blob: bytes, n: int, cells: int) -> np.ndarray:
+    """The count vector of a set of n shingles with fewer cells."""
+    v = np.frombuffer(blob, np.uint8 if len(blob) == cells_of(n) else np.uint32).astype(np.int32)
     return v.reshape(-1, cells).sum(axis=0)
 
 
+def partners(k: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
+    """For each class of a tile's first side, the classes of other components that the R-tree leaves; inside one side smaller keys alone."""
+    apart = bool(side.any())
+    if not apart and len(k) <= RTree.FAN:  # one leaf: all its bounds at once
+        overlap = np.minimum(points[:, None], points[None]).sum(axis=2)
+        near = (ABOVE + BELOW) * overlap >= ABOVE * (n[:, None] + n[None])
+        near &= (BELOW * np.minimum(n[:, None], n[None]) >= ABOVE * np.maximum(n[:, None], n[None])) & (comp[:, None] != comp[None]) & (k[:, None] > k[None])
+        if not near.any():
+            return []
+        return [(x := np.flatnonzero(row))[np.argsort(k[x])] for row in near]
+    index = np.flatnonzero(side == 1) if apart else np.arange(len(k))
+    tree, out = RTree(points[index], n[index]), []
+    for q in np.flatnonzero(side == 0):
+        found = index[tree.near(points[q], int(n[q]))]
+        found = found[comp[found] != comp[q]]
+        if not apart:
+            found = found[k[found] < k[q]]
+        out.append(found[np.argsort(k[found])])
+    return out
+
+
 def _search(limit: int):
-    """In a group's tile, at most `limit` partners of each class: smaller keys of other components that the R-tree leaves."""
+    """For the tiles of a bucket, at most `limit` partners of each class (0: all); a row with itself for each class that has any."""
 
     def run(key, rows):
         import pyarrow as pa
 
-        k, n, comp, side = (rows.column(c).to_numpy() for c in ("key", "n", "component", "side"))
+        rows = rows.sort_by([("sign", "ascending"), ("p", "ascending"), ("q", "ascending")])
+        sign, p, q, k, n, comp, side = (rows.column(c).to_numpy() for c in ("sign", "p", "q", "key", "n", "component", "side"))
         blobs = rows.column("cells").to_pylist()
-        cells = cells_of(int(n.min()))
-        points = np.stack([folded(b, m >= 65536, cells) for b, m in zip(blobs, n)])
-        target = side == (1 if side.any() else 0)
-        index = np.flatnonzero(target)
-        tree, a, b = RTree(points[index], n[index]), [], []
-        for q in np.flatnonzero(side == 0):
-            found = index[tree.near(points[q], int(n[q]))]
-            found = found[comp[found] != comp[q]]
-            if not side.any():
-                found = found[k[found] < k[q]]
-            found = found[np.argsort(k[found])][:limit] if limit else found
-            a.append(np.full(len(found), k[q]))
-            b.append(k[found])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        cut = np.flatnonzero((sign[1:] != sign[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+        a, b = [], []
+        for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(sign)]):
+            if y - x < 2 or BELOW * n[x:y].max() < ABOVE * n[x:y].min() or (comp[x:y] == comp[x]).all():
+                continue
+            cells = cells_of(int(n[x:y].min()))
+            points = np.stack([folded(v, m, cells) for v, m in zip(blobs[x:y], n[x:y].tolist())])
+            own = x + np.flatnonzero(side[x:y] == 0)
+            touched = np.zeros(y - x, bool)
+            for one, found in zip(own.tolist(), partners(k[x:y], n[x:y], comp[x:y], side[x:y], points)):
+                if len(found):
+                    touched[found] = touched[one - x] = True
+                    named = k[x + (found[:limit] if limit else found)]
+                    a.append(np.full(len(named), k[one]))
+                    b.append(named)
+            some = k[x:y][touched]
+            a.append(some)
+            b.append(some)
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def _verify(key, rows):
-    """Exact similarity of the classes beside a centre."""
+def fine_vector(h: np.ndarray) -> bytes:
+    """A set's counts in two cells a shingle or more, in bytes; a count over 255 is kept as 255 and the rest at the end."""
+    cells = 1 << max(6, (2 * len(h)).bit_length())
+    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    more = int(np.maximum(counts - 255, 0).sum())
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + more.to_bytes(4, "little")
+
+
+def _beside(rows) -> tuple[str, list]:
+    """The centre's blob and the (class, blob) beside it."""
+    a, blobs = rows.column("a").to_pylist(), rows.column("blob").to_pylist()
+    return next(s for x, s in zip(a, blobs) if x is None), [(x, s) for x, s in zip(a, blobs) if x is not None]
+
+
+def _pairs(kept: list, centre) -> "pa.Table":  # noqa: F821
     import pyarrow as pa
 
-    a = rows.column("a").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-    centre = next(s for x, s in zip(a, sets) if x is None)
-    out = []
-    for x, s in zip(a, sets):
-        if x is not None:
-            at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
-            both = int((centre[at] == s).sum())
-            out.append((x, (ABOVE + BELOW) * both >= ABOVE * (len(s) + len(centre))))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([key[0].as_py()] * len(out), pa.int64()), "linked": pa.array([x for _, x in out], pa.bool_())})
+    return pa.table({"a": pa.array(kept, pa.int64()), "b": pa.array([centre.as_py()] * len(kept), pa.int64())})
+
+
+def _sift(key, rows):
+    """The classes whose fine count vector leaves the threshold possible: the leaf's bound once more, with more cells."""
+    centre, others = _beside(rows)
+    c, c_more = np.frombuffer(centre[:-4], np.uint8).astype(np.int32), int.from_bytes(centre[-4:], "little")
+    kept = []
+    for x, blob in others:
+        v, more = np.frombuffer(blob[:-4], np.uint8).astype(np.int32), int.from_bytes(blob[-4:], "little")
+        cells = min(len(c), len(v))
+        overlap = int(np.minimum(c.reshape(-1, cells).sum(axis=0), v.reshape(-1, cells).sum(axis=0)).sum()) + max(c_more, more)
+        if (ABOVE + BELOW) * overlap >= ABOVE * (int(c.sum()) + c_more + int(v.sum()) + more):
+            kept.append(x)
+    return _pairs(kept, key[0])
+
+
+def _verify(key, rows):
+    """The classes whose exact similarity to the centre reaches the threshold."""
+    centre, others = _beside(rows)
+    centre, kept = np.frombuffer(centre, np.uint64), []
+    for x, blob in others:
+        s = np.frombuffer(blob, np.uint64)
+        both = int((centre[np.minimum(np.searchsorted(centre, s), len(centre) - 1)] == s).sum())
+        if (ABOVE + BELOW) * both >= ABOVE * (len(s) + len(centre)):
+            kept.append(x)
+    return _pairs(kept, key[0])
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -305,17 +381,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (a, b, linked) for pairs; every class travels to the centre b that it is compared with, a centre with many to several tasks."""
+def met(scratch: Scratch, pairs: DataFrame, sets: DataFrame, column: str, judge) -> DataFrame:
+    """The pairs (a, b) that `judge` keeps: every class a travels to the centre b, a centre with many to several tasks."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
-    placed = pairs.join(parts, "b").select("a", "b", F.pmod(F.hash("a"), F.col("parts")).alias("part"))
-    placed = scratch.write(placed, "placed")
-    beside = sets.select("key", "hashes").join(small(placed), F.col("key") == F.col("a")).select("b", "part", "a", "hashes")
+    placed = scratch.write(pairs.join(parts, "b").select("a", "b", F.pmod(F.hash("a"), F.col("parts")).alias("part")), "placed")
+    blobs = sets.select("key", F.col(column).alias("blob"))
+    beside = blobs.join(small(placed), F.col("key") == F.col("a")).select("b", "part", "a", "blob")
     centre = scratch.write(placed.select("b", "part").distinct(), "centres")
-    centre = sets.select("key", "hashes").join(small(centre), F.col("key") == F.col("b"))
-    centre = centre.select("b", "part", F.lit(None).cast("bigint").alias("a"), "hashes")
-    out = beside.unionByName(centre).groupBy("b", "part").applyInArrow(_verify, "a bigint, b bigint, linked boolean")
-    return scratch.write(out, "verified")
+    centre = blobs.join(small(centre), F.col("key") == F.col("b")).select("b", "part", F.lit(None).cast("bigint").alias("a"), "blob")
+    out = beside.unionByName(centre).groupBy("b", "part").applyInArrow(judge, "a bigint, b bigint")
+    out = scratch.write(out.distinct(), column)
+    scratch.release()
+    return out
+
+
+def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked pairs: sifted by fine count vectors, an eighth of the sets' bytes, then verified on the sets."""
+    return met(scratch, met(scratch, pairs, sets, "fine", _sift), sets, "hashes", _verify)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,9 +406,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    sizes = scratch.write(texts.mapInArrow(_sizes(None), "id bigint, n bigint, key bigint"), "sizes")
-    classes = scratch.write(sizes.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # shingles, about
 
     def bits(rows: float) -> int:
         return max(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, int(rows / BUCKET)).bit_length()
@@ -338,45 +418,52 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(np.sort(most.astype(np.uint32)))
     scratch.release()
 
-    postings = texts.mapInArrow(_postings(bits(total / 4), shared), "bucket bigint, h binary, k binary, n binary").groupBy("bucket")
-    groups = scratch.write(postings.applyInArrow(_groups, "sign bigint, key bigint, n bigint"), "buckets")
-    del postings
-    scratch.release()
+    kinds = "id bigint, n bigint, key bigint, cells binary, bucket bigint, h binary, k binary"
+    found = scratch.write(texts.mapInArrow(_postings(bits(total / 4), shared), kinds), "postings")
+    sizes = scratch.write(found.filter("bucket is null").select("id", "n", "key"), "sizes")
+    classes = scratch.write(sizes.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    groups = found.filter("bucket is not null").select("bucket", "h", "k").groupBy("bucket")
+    groups = scratch.write(groups.applyInArrow(_groups, "sign bigint, key bigint"), "buckets")
     groups = scratch.write(groups.dropDuplicates(["sign", "key"]), "groups")
+    live = scratch.write(groups.select("key").distinct(), "live")
+    points = found.filter("bucket is null").select("key", "n", "cells").join(small(live), "key").dropDuplicates(["key"])
+    points = scratch.write(points, "points")
+    scratch.drop(found)
     scratch.release()
 
-    # the first round needs no points: each class and the smallest class of its groups
-    lowest = groups.groupBy("sign").agg(F.min_by(F.struct("key", "n"), "key").alias("low"))
-    pairs = groups.join(lowest, "sign").filter(f"key > low.key and {BELOW} * least(n, low.n) >= {ABOVE} * greatest(n, low.n)")
-    pairs = pairs.groupBy(F.col("key").alias("a")).agg(F.min("low.key").alias("b"))
-    pairs = scratch.write(pairs, "pairs")
-
-    live = scratch.write(groups.select("key").distinct().join(classes, "key").select("rep"), "live")
-    own = texts.join(small(live), texts.id == F.col("rep")).select("id", "text")
-    sets = scratch.write(own.mapInArrow(_sets, "key bigint, n bigint, cells binary, hashes binary").dropDuplicates(["key"]), "sets")
-    scratch.release()
-    edges = rejected = None
-    for limit in (*LIMITS, 0, 0):
+    sets = edges = None
+    judged = spark.createDataFrame([], "a bigint, b bigint")
+    member = groups.withColumn("component", F.col("key"))
+    for limit in (*LIMITS, 0):
+        parts = F.ceil(F.count("*") / TILE).cast("int")
+        mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts"))
+        tiles = member.join(mixed.filter("low < high").select("sign", "parts"), "sign").join(points, "key")
+        tiles = tiles.withColumn("part", F.pmod(F.hash("key"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        tiles = tiles.select(
+            "sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "n", "component", "cells"
+        )
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), member.count() // SEARCHED)
+        tiles = tiles.withColumn("bucket", F.pmod(F.hash("sign", "p", "q"), F.lit(buckets))).groupBy("bucket")
+        named = scratch.write(tiles.applyInArrow(_search(limit), "a bigint, b bigint").distinct(), "named")
+        pairs = scratch.write(named.filter("a <> b").join(judged, ["a", "b"], "left_anti"), "pairs")
+        touched = scratch.write(named.filter("a = b").select(F.col("a").alias("key")), "touched")
+        if sets is None:
+            own = scratch.write(touched.join(classes, "key").select("rep"), "own")
+            own = texts.join(small(own), texts.id == F.col("rep")).select("id", "text")
+            sets = scratch.write(own.mapInArrow(_sets, "key bigint, fine binary, hashes binary"), "sets")
+        if touched.isEmpty():
+            break
         if not pairs.isEmpty():
-            judged = verified(scratch, pairs, sets)
-            linked, refused = judged.filter("linked").select("a", "b"), judged.filter("not linked").select("a", "b")
+            linked = verified(scratch, pairs, sets)
             edges = linked if edges is None else edges.unionByName(linked)
-            rejected = refused if rejected is None else rejected.unionByName(refused)
-        if edges is None or groups.isEmpty():
+            judged = judged.unionByName(pairs)
+        del named, mixed, tiles
+        if limit == 0 or edges is None:
             break
         parts = scratch.write(components(scratch, edges), "components")
-        member = groups.join(parts.withColumnRenamed("id", "key"), "key", "left")
-        member = member.withColumn("component", F.coalesce("component", "key"))
-        mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-        mixed = scratch.write(member.join(mixed.filter("low < high").select("sign", "parts"), "sign"), "mixed")
-        tiles = mixed.join(sets.select("key", "cells"), "key").withColumn("part", F.pmod(F.hash("key"), "parts"))
-        tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        tiles = tiles.select("sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "n", "component", "cells")
-        found = tiles.groupBy("sign", "p", "q").applyInArrow(_search(limit), "a bigint, b bigint").distinct()
-        pairs = scratch.write(found.join(rejected, ["a", "b"], "left_anti"), "pairs")
-        groups = mixed.select("sign", "key", "n")
-        if not limit and pairs.isEmpty():
-            break
+        member = member.drop("component").join(touched, "key", "left_semi").join(parts.withColumnRenamed("id", "key"), "key", "left")
+        member = scratch.write(member.withColumn("component", F.coalesce("component", "key")), "member")
+        scratch.release()
     out = sizes.join(classes.select("key", "rep"), "key", "left")
     if edges is not None:
         parts = components(scratch, edges)
@@ -390,13 +477,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def _sets(batches):
-    """Every text's set with its count vector."""
+    """Every text's set, and its fine count vector."""
     import pyarrow as pa
 
     for _, a, b, who, h in set_parts(batches):
         size, key = set_keys(who, h, b - a)
         own = np.split(h, np.cumsum(size)[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(size), pa.array([count_vector(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
-            names=["key", "n", "cells", "hashes"],
-        )
+        blobs = [pa.array([f(x) for x in own], pa.binary()) for f in (fine_vector, np.ndarray.tobytes)]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *blobs], names=["key", "fine", "hashes"])
