@@ -63,12 +63,6 @@ class Scratch:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def small(self, df: DataFrame, size: int = 32 << 20) -> DataFrame:
-        """A written table, to be broadcast if its files have at most `size` bytes."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-        return F.broadcast(df) if found <= size else df
-
     def release(self) -> None:
         """Let Spark remove the shuffle files of plans that are finished."""
         import gc

@@ -311,7 +311,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     scratch.release()
     asked = settled.filter("place is not null").groupBy("id").agg(F.collect_list("place").alias("place"), F.collect_list("anchor").alias("anchor"))
     asked = scratch.write(asked, "asked")
-    around = keyed.join(scratch.small(asked), "id").select("id", "text", "place", "anchor")
+    around = keyed.join(asked, "id").select("id", "text", "place", "anchor")
     around = scratch.write(around.mapInArrow(_surroundings, "anchor bigint, around binary, before int, id bigint, left bigint"), "around")
     del asked
     scratch.release()
@@ -335,7 +335,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     scratch.drop(around)
     scratch.drop(settled)
     scratch.release()
-    out = texts.join(scratch.small(state), "id", "left").select("id", "text", "lost", "starts")
+    out = texts.join(state, "id", "left").select("id", "text", "lost", "starts")
     return out.mapInArrow(_cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", key)
 
 
