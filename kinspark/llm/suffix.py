@@ -11,7 +11,8 @@ surroundings are all the strings of SPAN bytes that hold it.  Documents with the
 same surroundings of an anchor lose them to the first of them; that needs hashes
 alone, and settles copies and the inside of long passages.  Where an anchor has
 several surroundings, as at the ends of passages, the first document of each
-sends its bytes.  These are dealt out by anchor, and each task sorts the suffixes
+sends its bytes once, with all its places that hold them; what is lost in them is
+lost at each of these.  They are dealt out by anchor, and each task sorts the suffixes
 of its share by the difference-cover algorithm: it sorts the triples at the
 places that are no multiples of three, recurses on their names, sorts the other
 suffixes by a letter and the rank after it, merges both and compares the first
@@ -95,7 +96,7 @@ def _anchors(bits: int):
 
 
 def _settle(key, rows):
-    """By document: places whose surroundings an earlier document has, and places and anchors of first surroundings beside others."""
+    """By document: places whose surroundings an earlier document has, and all places and anchors of first surroundings beside others."""
     import pyarrow as pa
 
     kinds = (("h", np.uint32), ("k", np.uint64), ("m", np.int64), ("p", np.uint32))
@@ -104,10 +105,11 @@ def _settle(key, rows):
     h, around, doc, place = h[order], around[order], doc[order], place[order]
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
     group = anchor | np.concatenate([[True], around[1:] != around[:-1]])
+    fresh = group | np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])  # repeated rows have equal places
     least = doc[group][np.cumsum(group) - 1]
     lost = doc > least
     number = np.cumsum(anchor) - 1
-    several = (np.bincount(number, group)[number] > 1) & group  # one of each group, the first
+    several = (np.bincount(number, group)[number] > 1) & (doc == least) & fresh  # the places of each group's first document
     low, high = (f.reduceat(least, np.flatnonzero(anchor))[number] for f in (np.minimum, np.maximum))
     several &= low < high
     out = []
@@ -128,7 +130,11 @@ def _settle(key, rows):
 
 
 def _surroundings(batches):
-    """(anchor, bytes around it, bytes before it, document, first byte's place) for the places asked for."""
+    """(anchor, bytes around it, bytes before it, document, first byte's places) for the places asked for.
+
+    Places of one document with the same surroundings come one after the other
+    and are one row, as far as they lie in one part of the batch.
+    """
     import pyarrow as pa
 
     for batch in batches:
@@ -141,13 +147,22 @@ def _surroundings(batches):
         left, right = np.maximum(place - STARTS + 1, offsets[text]), np.minimum(place + SPAN, offsets[text + 1])
         for a in range(0, len(text), 50_000):
             x = slice(a, a + 50_000)
-            size = right[x] - left[x]
+            size, lefts = right[x] - left[x], (left - offsets[text])[x].astype(np.uint32)
+            same = np.zeros(len(size), bool)
+            like = [y[x][1:] == y[x][:-1] for y in (text, found, place - left, right - place)]
+            k = np.flatnonzero(np.logical_and.reduce(like)) + 1
+            if len(k):
+                equal = data[spread(left[x][k], size[k])] == data[spread(left[x][k - 1], size[k])]
+                same[k] = np.logical_and.reduceat(equal, np.cumsum(size[k]) - size[k])
+            head = np.flatnonzero(~same)
+            size, ends = size[head], 4 * np.append(head, len(same))
             around = pa.Array.from_buffers(
-                pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[spread(left[x], size)])]
+                pa.binary(), len(head), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[spread(left[x][head], size)])]
             )
+            lefts = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(lefts)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found[x]), around, pa.array((place - left)[x].astype(np.int32)), pa.array(ids[text[x]]), pa.array((left - offsets[text])[x])],
-                names=["anchor", "around", "before", "id", "left"],
+                [pa.array(found[x][head]), around, pa.array((place - left)[x][head].astype(np.int32)), pa.array(ids[text[x][head]]), lefts],
+                names=["anchor", "around", "before", "id", "lefts"],
             )
 
 
@@ -233,13 +248,31 @@ def may_match(anchor: np.ndarray, around: list[bytes], before: np.ndarray) -> np
     return out
 
 
+def everywhere(doc: np.ndarray, start: np.ndarray, lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of strings that start so far into surroundings, at all places of these, each once."""
+    many = np.array([len(x) // 4 for x in lefts], np.int64)
+    if not (many > 1).any():
+        return doc, start + np.frombuffer(b"".join(lefts), np.uint32).astype(np.int64)
+    out, ends, a = [], np.cumsum(many), 0
+    while a < len(doc):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORTED)))
+        d, s = np.repeat(doc[a:b], many[a:b]), np.repeat(start[a:b], many[a:b])
+        s += np.frombuffer(b"".join(lefts[a:b]), np.uint32)
+        order = np.lexsort((s, d))
+        d, s = d[order], s[order]
+        first = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])])
+        out.append((d[first], s[first]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _sort(key, rows):
     """By document: the starts of strings in a bucket's surroundings that an earlier document has."""
     import pyarrow as pa
 
     rows = rows.sort_by([("anchor", "ascending"), ("id", "ascending")])
-    anchor, before, owner, left = (rows.column(c).to_numpy() for c in ("anchor", "before", "id", "left"))
-    around = rows.column("around").to_pylist()
+    anchor, before, owner = (rows.column(c).to_numpy() for c in ("anchor", "before", "id"))
+    around, lefts = rows.column("around").to_pylist(), rows.column("lefts").to_pylist()
     keep = np.flatnonzero(may_match(anchor, around, before)) if around else np.zeros(0, np.int64)
     done = np.cumsum([len(around[k]) for k in keep])
     docs, starts, a = [], [], 0
@@ -250,8 +283,9 @@ def _sort(key, rows):
         part = keep[a:b]
         text, start, least = least_owner([around[k] for k in part], owner[part])
         less = least < owner[part][text]
-        docs.append(owner[part][text[less]])
-        starts.append(left[part][text[less]] + start[less])
+        found = everywhere(owner[part][text[less]], start[less], [lefts[k] for k in part[text[less]]])
+        docs.append(found[0])
+        starts.append(found[1])
         a = b
     docs, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts))
     order = np.argsort(docs, kind="stable")
@@ -312,7 +346,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     asked = settled.filter("place is not null").groupBy("id").agg(F.collect_list("place").alias("place"), F.collect_list("anchor").alias("anchor"))
     asked = scratch.write(asked, "asked")
     around = keyed.join(asked, "id").select("id", "text", "place", "anchor")
-    around = scratch.write(around.mapInArrow(_surroundings, "anchor bigint, around binary, before int, id bigint, left bigint"), "around")
+    around = scratch.write(around.mapInArrow(_surroundings, "anchor bigint, around binary, before int, id bigint, lefts binary"), "around")
     del asked
     scratch.release()
 
@@ -325,9 +359,9 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if crowded:  # anchors in very many surroundings: their strings are counted one by one
         strings = around.join(crowds, "anchor").filter(f"length(around) >= {SPAN}")
         strings = strings.withColumn("s", F.explode(F.expr(f"sequence(0, length(around) - {SPAN})")))
-        strings = strings.select("id", (F.col("left") + F.col("s")).alias("start"), F.expr(f"substring(around, s + 1, {SPAN})").alias("string"))
+        strings = strings.select("id", F.struct("s", "lefts").alias("at"), F.expr(f"substring(around, s + 1, {SPAN})").alias("string"))
         lowest = scratch.write(strings.groupBy("string").agg(F.min("id").alias("low")), "lowest")
-        more = strings.join(lowest, "string").filter("low < id").groupBy("id").agg(F.collect_set("start").alias("all"))
+        more = strings.join(lowest, "string").filter("low < id").groupBy("id").agg(F.collect_list("at").alias("all"))
         more = more.mapInArrow(_packed, "id bigint, starts array<binary>")
         repeats = repeats.unionByName(more).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     lost = settled.filter("lost is not null").groupBy("id").agg(F.collect_list("lost").alias("lost"))
@@ -340,9 +374,12 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def _packed(batches):
-    """Lists of starts as one blob each."""
+    """Lists of (start inside surroundings, places of these) as one blob of starts each."""
     import pyarrow as pa
 
     for batch in batches:
-        blobs = [[np.array(x, np.uint32).tobytes()] for x in batch.column(1).to_pylist()]
+        blobs = []
+        for x in batch.column(1).to_pylist():
+            s = np.array([y["s"] for y in x], np.int64)
+            blobs.append([np.unique(everywhere(np.zeros_like(s), s, [y["lefts"] for y in x])[1]).astype(np.uint32).tobytes()])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.list_(pa.binary()))], names=["id", "starts"])

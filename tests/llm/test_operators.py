@@ -100,6 +100,22 @@ def test_suffix_crowd(docs, monkeypatch):
     assert got == brute_suffix(corpus())
 
 
+def repeating():
+    rng = random.Random(11)
+    p, q, x, y, z = (text(rng, 30) for _ in range(5))
+    rows = [(1, p + z), (2, x + p + y + q + x + p + y), (3, (x + p + y + q) * 3 + p), (4, "ab" * 60), (5, "c" + "ab" * 200 + "d" + "ab" * 90 + "e")]
+    rows += [(6 + i, text(rng, 3) + p[i : i + 90] + text(rng, 9) + p[i : i + 90]) for i in range(12)]
+    return rows + [rows[1], (30, y + p + x + p + y + p + x)]
+
+
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_suffix_block_repeats_in_a_document(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix, "CROWD", crowd)
+    rows = repeating()
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffix.cut_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_suffix(rows)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n in [*range(1, 30), 300]:
