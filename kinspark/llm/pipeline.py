@@ -35,9 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has; bytes left of a cut character are dropped."""
-    cut = suffix.cut_repeats(docs.filter("doc_id is not null")).filter("n_removed > 0")
-    clean = F.expr("decode(kept, 'UTF-8')")
-    cut = cut.select("doc_id", F.regexp_replace(clean, "\\ufffd", "").alias("rest"))
+    cut = suffix.cut_repeats(docs.filter("doc_id is not null"), whole=True).filter("n_removed > 0")
+    cut = cut.select("doc_id", F.col("kept").cast("string").alias("rest"))
     cut = Scratch(spark, "repeats").write(cut, "cut")
     text = F.coalesce("rest", "text")
     kept = docs.join(cut, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest").cast(docs.schema["n_chars"].dataType)))

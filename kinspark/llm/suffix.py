@@ -30,6 +30,8 @@ table gives an empty table.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -304,7 +306,13 @@ def runs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[head], b[np.concatenate([np.flatnonzero(head)[1:] - 1, [len(b) - 1]])]
 
 
-def _cut(batches):
+def whole_characters(raw: bytes, kept: np.ndarray) -> bytes:
+    """The kept bytes without those of characters that a run of them holds in part."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], kept, [False]]).astype(np.int8)))
+    return b"".join(raw[a:b].decode("utf-8", "ignore").encode() for a, b in zip(edge[::2], edge[1::2]))
+
+
+def _cut(batches, whole: bool = False):
     """(id, n_bytes, n_removed, n_spans, kept bytes) from text, places of lost surroundings, and starts of lost strings."""
     import pyarrow as pa
 
@@ -320,7 +328,8 @@ def _cut(batches):
             a, b = runs_of(np.concatenate([np.maximum(p - STARTS + 1, 0), s]), np.concatenate([np.minimum(p + SPAN, len(raw)), s + SPAN]))
             gone = np.zeros(len(raw) + 1, np.int8)
             gone[a], gone[b] = 1, -1
-            out.append((len(raw), int((b - a).sum()), len(a), raw[np.cumsum(gone[:-1]) == 0].tobytes()))
+            stays = np.cumsum(gone[:-1]) == 0
+            out.append((len(raw), int((b - a).sum()), len(a), whole_characters(raw.tobytes(), stays) if whole else raw[stays].tobytes()))
         n, removed, spans, kept = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
@@ -328,8 +337,12 @@ def _cut(batches):
         )
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_bytes, n_removed, n_spans, kept binary): every whole text without its repeated passages."""
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """Rows (key, n_bytes, n_removed, n_spans, kept binary): every whole text without its repeated passages.
+
+    Passages are cut by bytes; with `whole`, kept is also without what is left of
+    characters that a cut parts, and n_removed still counts the passages alone.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "suffix")
@@ -370,7 +383,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     scratch.drop(settled)
     scratch.release()
     out = texts.join(state, "id", "left").select("id", "text", "lost", "starts")
-    return out.mapInArrow(_cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", key)
+    return out.mapInArrow(partial(_cut, whole=whole), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", key)
 
 
 def _packed(batches):

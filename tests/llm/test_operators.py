@@ -292,3 +292,23 @@ def test_pipeline(spark, tmp_path):
     for r in out.values():
         assert r["n_tokens"] == len(r["ids"])
     assert hashlib.sha256(out[2003]["text"].encode()).hexdigest()
+
+
+def test_pipeline_cut_inside_characters(spark):
+    from kinspark.llm import pipeline
+
+    rng = random.Random(12)
+    p, q = text(rng, 20) + " caf", text(rng, 20)
+    rows = [(1, p + "é" + q), (2, "b\ufffd " + p + "è, and on"), (3, "日" + q[:60] + "本"), (None, p)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.cut_repeats(spark, docs, "").collect()}
+    kept = {i: want[3] for i, want in brute_suffix([r for r in rows if r[0]]).items()}
+    assert any(x.decode("utf-8", "ignore").encode() != x for x in kept.values())
+    assert got[1][0] == rows[0][1] and got[2][0] == "b\ufffd , and on" and got[None][0] == p
+    assert all(n == len(t) and "\ufffd" not in t.replace("b\ufffd", "") for t, n in got.values())
+
+
+def test_whole_characters():
+    raw, gone = "aéxèb".encode(), np.ones(7, bool)
+    gone[2:5] = False  # leaves the first byte of é beside the last byte of è
+    assert suffix.whole_characters(raw, gone) == b"ab"
