@@ -231,6 +231,27 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [16_384, 100])
+def test_vectors_in_a_cone(spark, monkeypatch, few):
+    monkeypatch.setattr(vectors, "WINDOW", 16)
+    monkeypatch.setattr(vectors, "FEW", few, raising=False)
+    rng = np.random.default_rng(1)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    x = unit(rng.normal(size=(1500, 48)))
+    x[:1000] = unit(0.9**0.5 * x[0] + 0.1**0.5 * x[:1000])
+    x = np.concatenate([x, unit(x[:1500:5] + 0.3 * unit(rng.normal(size=(300, 48))))])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    top = vectors.joined(a, b, len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r[0]: (r[1], r[2]) for r in vectors.near_duplicates(df).collect()}
+    assert len(a) > 300 and got == {i: (int(near[i].sum()), int(top[i])) for i in range(len(x))}
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [text(rng, 20), "Calculate how many apples Maria sells when she sells 12 apples per hour for 3 hours", "a b", None, "three short words"]
