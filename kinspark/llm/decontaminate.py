@@ -4,10 +4,12 @@ Words become a template: numbers, units and names (capitalised words inside a
 sentence) turn into typed placeholders, the others into their lower-case letters
 and digits.  Windows of WINDOW template words of the benchmark items are joined
 by hash with those of all documents.  A document that holds at least COVERAGE of
-an item's distinct windows is then laid beside the item at their first common
-window: if one value of the item's slots always stands for one value of the
-document's, the document is contaminated, `exact` if all words under the item
-are equal and `reparameterised` if slots differ.
+an item's distinct windows is then laid beside the item at every place where a
+window of both stands, and once more with each window at a place of its own, for
+copies with words put in or left out (of a window's places the one whose shift
+most windows have).  If in one of these one value of the item's slots always
+stands for one value of the document's, the document is contaminated, `exact` if
+in one all slots are equal and `reparameterised` if not.
 
 Only DataFrame functions are used.  Documents send distinct window hashes into
 the join, no text; an item's windows are broadcast after their number was
@@ -136,22 +138,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(near, "id")
     both = templated(texts, "text", spans)
     theirs = F.coalesce(*[F.when(F.col("span") == n, F.col(f"w{n}")) for n in spans]) if spans else F.col("own")
-    both = scratch.write(both.select("id", "item", "n_windows", "total", "item_raw", "item_words", "own", "raw", "words", theirs.alias("theirs")), "beside")
-    common = F.expr("filter(sequence(1, size(own)), i -> own[i - 1] is not null and array_contains(theirs, own[i - 1]))[0]")
-    both = scratch.write(both.withColumn("at", common).withColumn("shift", F.expr("array_position(theirs, own[at - 1]) - at")), "laid")
-    slots = F.expr(
-        "filter(transform(sequence(1, size(item_words)), i -> struct(item_words[i - 1] as t, get(words, cast(i - 1 + shift as int)) as u, "
-        "item_raw[i - 1] as x, get(raw, cast(i - 1 + shift as int)) as y)), s -> s.t = s.u and s.t in ('<num>', '<name>', '<unit>'))"
-    )
-    both = both.select("id", "item", "n_windows", "total", F.transform(slots, lambda s: F.struct(s["t"].alias("t"), plain(s["x"]).alias("x"), plain(s["y"]).alias("y"))).alias("slots"))
-    both = both.withColumn("slots", F.array_distinct("slots"))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["x"]))))
-    exact = F.forall("slots", lambda s: s["x"] == s["y"])
-    both = both.filter(consistent).select(
+    both = both.select(F.monotonically_increasing_id().alias("row"), "id", "item", "n_windows", "total", "span", "item_raw", "item_words", "raw", "words", theirs.alias("theirs"))
+    both = scratch.write(both, "beside")
+    places = items.select("item", "counted", F.posexplode_outer("own").alias("i", "hash")).filter("array_contains(counted, hash)").select("item", "i", "hash")
+    places = small(scratch.write(places, "places"))
+    met = both.select("row", "item", F.posexplode_outer("theirs").alias("j", "hash")).filter("hash is not null").join(places, ["item", "hash"])
+    met = scratch.write(met.select("row", "i", (F.col("j") - F.col("i")).alias("shift")), "met")
+    shifts = met.groupBy("row", "shift").agg(F.count("*").alias("n"))
+    own = met.join(shifts, ["row", "shift"]).groupBy("row", "i").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"))
+    own = own.groupBy("row").agg(F.collect_list(F.struct("i", (-F.col("best.back")).alias("shift"))).alias("laid"))
+    both = both.drop("theirs").join(shifts.groupBy("row").agg(F.collect_list("shift").alias("shifts")), "row").join(own, "row")
+    slot = "struct(item_words[i] as t, get(words, i + {0}) as u, item_raw[i] as x, get(raw, i + {0}) as y)"
+    whole = f"transform(shifts, s -> transform(sequence(0, size(item_words) - 1), i -> {slot.format('s')}))"
+    alone = f"flatten(transform(laid, w -> transform(sequence(w.i, w.i + span - 1), i -> {slot.format('w.shift')})))"
+    both = both.withColumn("layouts", F.concat(F.expr(whole), F.array(F.expr(alone))))
+
+    def kind(layout: Column) -> Column:
+        slots = F.filter(layout, lambda s: (s["t"] == s["u"]) & is_slot(s["t"]))
+        slots = F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"].alias("t"), plain(s["x"]).alias("x"), plain(s["y"]).alias("y"))))
+        return F.struct(
+            (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["x"]))))).alias("consistent"), F.forall(slots, lambda s: s["x"] == s["y"]).alias("exact")
+        )
+
+    both = both.withColumn("kinds", F.filter(F.transform("layouts", kind), lambda k: k["consistent"]))
+    both = both.filter(F.size("kinds") > 0).select(
         F.col("id").alias(key),
         F.col("item").alias(item),
         F.col("n_windows").cast("bigint").alias("n_windows"),
         (F.col("n_windows") / F.col("total")).alias("coverage"),
-        F.when(exact, "exact").otherwise("reparameterised").alias("kind"),
+        F.when(F.exists("kinds", lambda k: k["exact"]), "exact").otherwise("reparameterised").alias("kind"),
     )
     return both.groupBy(key, item).agg(F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"), F.min("kind").alias("kind"))

@@ -268,6 +268,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_tries_every_place(spark):
+    item = "so Maria sells 12 apples per hour for 3 hours and then she gives 12 apples away to all of her friends at school today before Maria goes home with the rest of them"
+    other = item.replace("sells 12", "sells 45").replace("gives 12", "gives 77")
+    words = item.split()
+    longer = " ".join(words[:16] + ["really"] + words[16:])
+    docs = [(1, item), (2, other), (3, other + " . " + item), (4, "it was " + longer), (5, other + " . " + other), (6, "well " + item.replace("12", "13"))]
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r["kind"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: "exact", 3: "exact", 4: "exact", 6: "reparameterised"}
+
+
 def test_urls(spark):
     rows = ["http://Example.COM/en/1", "https://www.example.com/en/2?x#y", "https://a.b.net/es/1", "net/es/1", None, "", "ftp://shop.com", "https://xcom/", "https://z.org/fr/spam", "https://example.com/de/3"]
     rows += [f"https://good{i}.com/page/{i}" for i in range(30)] + [f"https://bad{i}.net/fr/spam{i}" for i in range(30)]
