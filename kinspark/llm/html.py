@@ -11,7 +11,8 @@ white space made single, are joined by line feeds in page order.
 
 Defined results: a null or empty page has the empty text; text before any tag
 is a block of its own; unclosed elements last to the end of what holds them, an
-unclosed comment, script or tag drops the rest of the page; repeated rows give
+unclosed comment, script or tag drops the rest of the page, an unclosed head
+what stands before its body or first block; repeated rows give
 the same text; extra columns are left out; an empty table gives an empty table.
 """
 
@@ -41,7 +42,7 @@ STOP_WORDS = {
 _STOPS = [frozenset(x.split()) for x in STOP_WORDS.values()]
 
 #: Elements whose text is never shown or never part of an article.
-DROPPED = "script|style|noscript|template|iframe|object|svg|math|select|textarea|head|title|canvas|audio|video"
+DROPPED = "script|style|noscript|template|iframe|object|svg|math|select|textarea|title|canvas|audio|video"
 #: Elements that hold what stands around an article.
 AROUND = frozenset("nav footer aside form dialog menu button".split())
 #: Words in class, id or role that mark the same.
@@ -92,7 +93,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: tag, whether around the article, number of the article
-    around, article, articles, links, at, breaks, own = False, 0, 0, 0, 0, 0, False
+    held: dict[str, list[int]] = {}  # places of the open elements of each tag
+    around, article, articles, links, at, breaks, own, head = False, 0, 0, 0, 0, 0, False, False
 
     def close() -> None:
         if parts:
@@ -103,7 +105,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not head:
             parts.append((page[at : m.start()], links > 0))
             if breaks and page[at : m.start()].strip():
                 breaks = 0
@@ -113,6 +115,11 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append((" ", False))
             continue
         tag, end = tag.lower(), bool(m["end"])
+        if tag == "head":
+            head = not end
+            continue
+        if head and not end and tag in BLOCK_TAGS and tag != "html":
+            head = False
         if tag == "br":
             parts.append((" ", False))
             breaks += 1
@@ -134,6 +141,7 @@ def blocks_of(page: str) -> list[Block]:
         if not end:
             if attributes.endswith("/"):
                 continue
+            held.setdefault(tag, []).append(len(stack))
             stack.append((tag, around, article))
             if tag in ("article", "main"):
                 if not article:
@@ -144,16 +152,17 @@ def blocks_of(page: str) -> list[Block]:
                     close()
                 around = True
         else:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and around != stack[k][1]:
-                        close()
-                    _, around, article = stack[k]
-                    del stack[k:]
-                    break
+            if held.get(tag):
+                k = held[tag][-1]
+                if tag not in BLOCK_TAGS and around != stack[k][1]:
+                    close()
+                _, around, article = stack[k]
+                for inner, _, _ in stack[k:]:
+                    held[inner].pop()
+                del stack[k:]
             if tag in BLOCK_TAGS:
                 links = 0
-    if at < len(page):
+    if at < len(page) and not head:
         parts.append((page[at:], links > 0))
     close()
     return out

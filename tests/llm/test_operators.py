@@ -306,6 +306,16 @@ def test_html(spark):
     assert (got[2], got[3], got[5]) == ("", "", "") and got[4].startswith("It is the plain")
 
 
+def test_html_left_out_end_tags():
+    article = "<article><p>It is the plain text of a page and this is all of it</article>"
+    for tag in ("li", "dt", "td"):
+        assert html.main_text(f"<nav><ul>{f'<{tag}>an entry' * 500}</ul></nav>{article}").startswith("It is the plain")
+    for head in ("<head><title>T</title><meta a=b>", "<head><script>'<p>'</script><!-- <p> --><title>T</title></head><body>", "<head><link x><title>T</title><body class=x>"):
+        assert html.main_text(f"<html>{head}{article}") == "It is the plain text of a page and this is all of it"
+    assert html.main_text(f"<head><title>It is the title of the page and of all in it</title>{article}") == "It is the plain text of a page and this is all of it"
+    assert html.main_text(f"<header><p>The name of the site and all of it</p></header>{article}") == "It is the plain text of a page and this is all of it"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
