@@ -177,7 +177,7 @@ def stop_share(text: str) -> float:
 def decide(block: Block) -> None:
     """First pass: label a block by itself, or leave it open."""
     size = len(block.text)
-    if block.around or block.linked > LINKED * size or "©" in block.text:
+    if block.around or block.linked > LINKED * size or ("©" in block.text and size < SHORT and not block.article):
         block.label = False
     elif size < SHORT:
         block.label = None
@@ -188,7 +188,7 @@ def decide(block: Block) -> None:
         elif share >= STOP_HIGH or (size >= LONG and share >= STOP_LOW):
             block.label = True
         else:
-            block.label = False if share < STOP_LOW and size >= LONG else None
+            block.label = None
 
 
 def inherit(blocks: list[Block]) -> list[bool]:

@@ -316,6 +316,13 @@ def test_html_left_out_end_tags():
     assert html.main_text(f"<header><p>The name of the site and all of it</p></header>{article}") == "It is the plain text of a page and this is all of it"
 
 
+def test_html_keeps_signs_and_other_languages():
+    one, two = "The sign &copy; stands for the copyright of this text and of all of it", "Short &copy; of it"
+    assert html.main_text(f"<article><p>{one}<p>{two}</article><p>&copy; the owner") == f"{one}\n{two}".replace("&copy;", "©")
+    first, other = "It is the plain text of a page and this is all of it", "Suomalainen kirjoitus kertoo vanhasta talosta " * 6
+    assert html.main_text(f"<p>{first}<p>{other}") == f"{first}\n{other.strip()}"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
