@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch sent to Python; texts average a few KB, so a batch stays a few MB.
 ARROW_ROWS = 1000
 #: Bytes of text worked on at once inside a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,34 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def lean(run):
+    """A function over Arrow batches that gives unused memory back to the system when its task ends.
+
+    Workers wait for the next task with what their allocators keep, beside those that work.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trimmed:
+        trimmed(0)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where that is unset one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, bounded_batches, components, mix64, slices, spread, text_bytes
+from .common import SLICE_BYTES, Rolling, Scratch, bounded_batches, components, lean, mix64, slices, spread, text_bytes
 
 WORDS = 5
 #: Threshold of the Jaccard similarity, as a fraction.
@@ -40,9 +40,9 @@ ABOVE, BELOW = 3, 4
 FREQUENT, FREQUENT_MOST = 64, 1_000_000
 #: Postings of one bucket, about; rows up to which a side is broadcast; most members of a group on each side of a tile.
 BUCKET, BROADCAST_ROWS, TILE = 1 << 19, 1_000_000, 512
-#: Partners of a class that a group names in the first rounds; then all that are left.
 #: Members of groups that one bucket of the search holds, about.
-SEARCHED = 25_000
+SEARCHED = 50_000
+#: Partners of a class that a bucket names in the first rounds; then all that are left.
 LIMITS = (1, 16)
 #: Classes beside one centre in one task of the verification.
 BESIDE = 256
@@ -56,7 +56,29 @@ _LOWER[65:91] += 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle hash) of all shingles of texts laid end to end, by text."""
+    """(text number, shingle hash) of all shingles of texts laid end to end, by text; a long text is read in parts."""
+    if len(offsets) != 2 or len(data) <= 2 * SLICE_BYTES:
+        return _shingles(data, offsets)[:2]
+    out, start, size = [], 0, SLICE_BYTES
+    while start < len(data):
+        space = np.flatnonzero(_SPACE[data[start + size : start + 2 * size]])
+        end = start + size + int(space[0]) if len(space) else len(data) if start + 2 * size >= len(data) else 0
+        part = data[start:end]
+        _, h, words = _shingles(part, np.array([0, len(part)])) if end else (None, None, [])
+        if len(words) < WORDS and end < len(data):  # few long words: look farther
+            size *= 2
+            continue
+        if not out or len(words) >= WORDS:
+            out.append(h)
+        if end == len(data):
+            break
+        start, size = start + int(words[1 - WORDS]), SLICE_BYTES  # the last words begin the next part's shingles
+    h = np.concatenate(out)
+    return np.zeros(len(h), np.int64), h
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle hash) by text, and where the words start once a space stands after each text."""
     n = len(offsets) - 1
     apart = np.full(len(data) + n, 32, np.uint8)
     apart[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = _LOWER[data]
@@ -76,7 +98,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ word[at + k])
         else:
             h[more] = mix64(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ word[at[more] + k])
-    return who, h
+    return who, h, start
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,24 +152,35 @@ class Gather:
 
 
 def _all_shingles(bits: int):
-    """The first 32 bits of the lower half of all shingles' hashes, by bucket: the first few in order are among them."""
+    """The first 32 bits of the lower half of all shingles' hashes, by bucket: the first few in order are among them.
+
+    Each bucket's blob holds every hash once, `more` those that came again with how often they did.
+    """
 
     def run(batches):
-        gather = Gather(bits)
+        import pyarrow as pa
+
+        def rows():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            n -= 1
+            found, first = np.unique(h >> np.uint32(32 - bits), return_index=True)
+            ends = [*first[1:], len(h)]
+            more = [np.stack([h[a:b][n[a:b] > 0], n[a:b][n[a:b] > 0].astype(np.uint32)], 1).tobytes() for a, b in zip(first, ends)]
+            blobs = [pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array(more, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *blobs], names=["bucket", "h", "more"])
+
+        parts, size = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets):
                 _, h = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                h = h[h < np.uint64(1 << 63)]
-                gather.add(h, (h >> np.uint64(32)).astype(np.uint32))
-                if gather.bytes > GATHER:
-                    yield from map(last, gather.rows())
-        yield from map(last, gather.rows())
-
-    def last(batch):
-        import pyarrow as pa
-
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["bucket", "h"])
+                parts.append((h[h < np.uint64(1 << 63)] >> np.uint64(32)).astype(np.uint32))
+                size += parts[-1].nbytes
+                if size > GATHER:
+                    yield rows()
+                    parts, size = [], 0
+        if size:
+            yield rows()
 
     return run
 
@@ -157,6 +190,8 @@ def _frequent(least: int):
         import pyarrow as pa
 
         h, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("h").to_pylist()]), return_counts=True)
+        again = np.frombuffer(b"".join(rows.column("more").to_pylist()), np.uint32).reshape(-1, 2)
+        np.add.at(n, np.searchsorted(h, again[:, 0]), again[:, 1].astype(n.dtype))
         return pa.table({"h": h[n >= least].astype(np.int64), "n": n[n >= least].astype(np.int64)})
 
     return run
@@ -171,7 +206,7 @@ def _postings(bits: int, frequent):
         def posted():
             for r in gather.rows():
                 none = pa.nulls(len(r), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(r), pa.binary()), r.columns[0], *r.columns[2:]], names=NAMES)
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(r), pa.binary()), none, r.columns[0], *r.columns[2:]], names=NAMES)
 
         often, gather = frequent.value, Gather(bits)
         for batch, a, b, who, h in set_parts(batches):
@@ -189,7 +224,7 @@ def _postings(bits: int, frequent):
             cells = [count_vector(h[x : x + n]) for x, n in zip(first.tolist(), size.tolist())]
             none = pa.nulls(b - a, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(key), pa.array(cells, pa.binary()), pa.nulls(b - a, pa.int64()), none, none], names=NAMES
+                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(key), pa.array(cells, pa.binary()), batch.column(2).slice(a, b - a), pa.nulls(b - a, pa.int64()), none, none], names=NAMES
             )
             if gather.bytes > GATHER:
                 yield from posted()
@@ -198,7 +233,7 @@ def _postings(bits: int, frequent):
     return run
 
 
-NAMES = ["id", "n", "key", "cells", "bucket", "h", "k"]
+NAMES = ["id", "n", "key", "cells", "hash", "bucket", "h", "k"]
 
 
 def _groups(key, rows):
@@ -225,155 +260,170 @@ def _groups(key, rows):
 
 
 def cells_of(n: int) -> int:
-    """Cells that a set of n shingles is counted in: a power of two, about a third of n."""
-    return 1 << min(14, max(4, int(n // 4).bit_length()))
+    """Cells that a set of n shingles is counted in: a power of two, n or more up to 65,536."""
+    return 1 << min(16, max(6, (int(n) - 1).bit_length()))
 
 
 def count_vector(h: np.ndarray) -> bytes:
-    """A set's counts, in bytes, or in 32 bits each where a count needs more."""
+    """A set's counts up to 3, as three planes of bits: cells with one shingle or more, with two, with three."""
     cells = cells_of(len(h))
     counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+    return np.packbits(counts >= np.arange(1, 4)[:, None], axis=1, bitorder="little").tobytes()
+
+
+def folded(planes: np.ndarray) -> np.ndarray:
+    """Count vectors (rows, 3, bytes) with half as many cells."""
+    half = planes.shape[2] // 2
+    a, b = planes[:, :, :half], planes[:, :, half:]
+    one, two, three = (a[:, k] | b[:, k] for k in range(3))
+    return np.stack([one, two | (a[:, 0] & b[:, 0]), three | (a[:, 1] & b[:, 0]) | (a[:, 0] & b[:, 1])], 1)
+
+
+class Points:
+    """The count vectors of classes in the order of their keys, at every number of cells at which pairs are bounded."""
+
+    def __init__(self, n: np.ndarray, blobs: list[bytes]):
+        self.n, self.cells = n, np.array([cells_of(x) for x in n.tolist()], np.int64)
+        self.levels = {}
+        for c in np.unique(self.cells).tolist():
+            own, more = np.flatnonzero(self.cells == c), np.flatnonzero(self.cells == 2 * c)
+            planes = np.frombuffer(b"".join([blobs[i] for i in own]), np.uint8).reshape(len(own), 3, c // 8)
+            if len(more):
+                planes = np.concatenate([planes, folded(np.frombuffer(b"".join([blobs[i] for i in more]), np.uint8).reshape(len(more), 3, c // 4))])
+            words = np.ascontiguousarray(planes).view(np.uint64).reshape(len(planes), -1)
+            at = np.full(len(n), -1, np.int32)
+            at[np.concatenate([own, more])] = np.arange(len(words))
+            rest = np.concatenate([n[own], n[more]]) - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+            self.levels[c] = at, words, rest  # what the planes don't count of each set
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the bound leaves it possible that pairs of classes link."""
+        n, out, cells = self.n, np.zeros(len(a), bool), np.minimum(self.cells[a], self.cells[b])
+        sized = np.flatnonzero(BELOW * np.minimum(n[a], n[b]) >= ABOVE * np.maximum(n[a], n[b]))
+        for c in np.unique(cells[sized]).tolist():
+            at, words, rest = self.levels[c]
+            some = sized[cells[sized] == c]
+            step = max(1, (1 << 19) // words.shape[1])
+            for i in range(0, len(some), step):
+                pick = some[i : i + step]
+                x, y = at[a[pick]], at[b[pick]]
+                overlap = np.bitwise_count(words[x] & words[y]).sum(axis=1, dtype=np.int64) + np.minimum(rest[x], rest[y])
+                out[pick] = (ABOVE + BELOW) * overlap >= ABOVE * (n[a[pick]] + n[b[pick]])
+        return out
 
 
 class RTree:
-    """Count vectors under boxes of FAN children each; points sorted by size, so that boxes are narrow."""
+    """Count vectors under boxes of FAN children each, in the order of their sizes and then of their first cells."""
 
     FAN = 32
 
-    def __init__(self, points: np.ndarray, size: np.ndarray):
-        self.order = np.argsort(size, kind="stable")
-        self.size = size[self.order]
-        self.levels = [points[self.order]]
-        while len(self.levels[-1]) > self.FAN:
-            below = self.levels[-1]
-            self.levels.append(np.maximum.reduceat(below, np.arange(0, len(below), self.FAN), axis=0))
-
-    def near(self, point: np.ndarray, size: int) -> np.ndarray:
+    def __init__(self, words: np.ndarray, rest: np.ndarray, size: np.ndarray):
+        band = (np.log(size) / np.log(BELOW / ABOVE)).astype(np.int64)
+        self.order = np.lexsort((*words[:, 2::-1].T, band))
+        size = size[self.order]
+        self.levels = [(words[self.order], rest[self.order], size, size)]
+        while len(self.levels[-1][0]) > self.FAN:
+            box, rest, least, most = self.levels[-1]
+            first = np.arange(0, len(box), self.FAN)
+            self.levels.append((np.bitwise_or.reduceat(box, first, axis=0), np.maximum.reduceat(rest, first), np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)))
+
+    def near(self, point: np.ndarray, rest: int, size: int) -> np.ndarray:
         """Points whose bounded overlap with the query reaches what the threshold asks for."""
-        top = len(self.levels) - 1
-        nodes = np.arange(len(self.levels[top]))
-        for level in range(top, -1, -1):
-            width = self.FAN**level
-            last = np.minimum((nodes + 1) * width, len(self.size)) - 1
-            smallest, largest = self.size[nodes * width], self.size[last]
-            nodes = nodes[(ABOVE * smallest <= BELOW * size) & (BELOW * largest >= ABOVE * size)]
-            if not len(nodes):
-                return nodes
-            overlap = np.minimum(self.levels[level][nodes], point).sum(axis=1)
-            least = np.maximum(self.size[nodes * width], -(-ABOVE * size // BELOW))
-            nodes = nodes[(ABOVE + BELOW) * overlap >= ABOVE * (size + least)]
+        nodes = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            box, more, least, most = (x[nodes] for x in self.levels[level])
+            overlap = np.bitwise_count(box & point).sum(axis=1, dtype=np.int64) + np.minimum(more, rest)
+            needed = np.maximum(least, -(-ABOVE * size // BELOW))
+            nodes = nodes[(ABOVE * least <= BELOW * size) & (BELOW * most >= ABOVE * size) & ((ABOVE + BELOW) * overlap >= ABOVE * (size + needed))]
             if level:
                 nodes = (nodes[:, None] * self.FAN + np.arange(self.FAN)).ravel()
-                nodes = nodes[nodes < len(self.levels[level - 1])]
+                nodes = nodes[nodes < len(self.levels[level - 1][0])]
         return self.order[nodes]
 
 
-def folded(blob: bytes, n: int, cells: int) -> np.ndarray:
-    """The count vector of a set of n shingles with fewer cells."""
-    v = np.frombuffer(blob, np.uint8 if len(blob) == cells_of(n) else np.uint32).astype(np.int32)
-    return v.reshape(-1, cells).sum(axis=0)
-
-
-def partners(k: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    """For each class of a tile's first side, the classes of other components that the R-tree leaves; inside one side smaller keys alone."""
-    apart = bool(side.any())
-    if not apart and len(k) <= RTree.FAN:  # one leaf: all its bounds at once
-        overlap = np.minimum(points[:, None], points[None]).sum(axis=2)
-        near = (ABOVE + BELOW) * overlap >= ABOVE * (n[:, None] + n[None])
-        near &= (BELOW * np.minimum(n[:, None], n[None]) >= ABOVE * np.maximum(n[:, None], n[None])) & (comp[:, None] != comp[None]) & (k[:, None] > k[None])
-        if not near.any():
-            return []
-        return [(x := np.flatnonzero(row))[np.argsort(k[x])] for row in near]
-    index = np.flatnonzero(side == 1) if apart else np.arange(len(k))
-    tree, out = RTree(points[index], n[index]), []
-    for q in np.flatnonzero(side == 0):
-        found = index[tree.near(points[q], int(n[q]))]
-        found = found[comp[found] != comp[q]]
-        if not apart:
-            found = found[k[found] < k[q]]
-        out.append(found[np.argsort(k[found])])
-    return out
+def leaf_pairs(points: Points, at: np.ndarray, first: np.ndarray, many: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The possible pairs (larger, smaller) of different components inside groups that are one leaf, each once."""
+    out, a = [np.zeros(0, np.int64)], 0
+    done = np.cumsum(many * (many - 1) // 2)
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + (1 << 20))))
+        place = spread(first[a:b], many[a:b])
+        later = np.repeat(first[a:b] + many[a:b], many[a:b]) - place - 1
+        x, y = np.repeat(at[place], later), at[spread(place + 1, later)]
+        x, y = np.maximum(x, y), np.minimum(x, y)
+        apart = comp[x] != comp[y]
+        out.append(np.unique(x[apart] * len(comp) + y[apart]))
+        a = b
+    pairs = np.unique(np.concatenate(out))
+    x, y = pairs // max(1, len(comp)), pairs % max(1, len(comp))
+    good = points.possible(x, y)
+    return x[good], y[good]
+
+
+def tree_pairs(points: Points, index: np.ndarray, asked: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The possible pairs (larger, smaller) of different components between the classes of an R-tree and those that ask it."""
+    out = [(index[:0], index[:0])]
+    for c, (at, words, rest) in points.levels.items():
+        held, query = index[at[index] >= 0], asked[at[asked] >= 0]
+        if not len(held) or not len(query):
+            continue
+        tree = RTree(words[at[held]], rest[at[held]], points.n[held])
+        for q in query.tolist():
+            found = held[tree.near(words[at[q]], int(rest[at[q]]), int(points.n[q]))]
+            found = found[(comp[found] != comp[q]) & (np.minimum(points.cells[found], points.cells[q]) == c)]
+            out.append((np.maximum(found, q), np.minimum(found, q)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _search(limit: int):
-    """For the tiles of a bucket, at most `limit` partners of each class (0: all); a row with itself for each class that has any."""
+    """For the tiles of a bucket, rows (a, b): at most `limit` partners b of each class a that has any, the smallest first (0: all pairs)."""
 
     def run(key, rows):
         import pyarrow as pa
-
-        rows = rows.sort_by([("sign", "ascending"), ("p", "ascending"), ("q", "ascending")])
-        sign, p, q, k, n, comp, side = (rows.column(c).to_numpy() for c in ("sign", "p", "q", "key", "n", "component", "side"))
-        blobs = rows.column("cells").to_pylist()
-        cut = np.flatnonzero((sign[1:] != sign[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-        a, b = [], []
-        for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(sign)]):
-            if y - x < 2 or BELOW * n[x:y].max() < ABOVE * n[x:y].min() or (comp[x:y] == comp[x]).all():
-                continue
-            cells = cells_of(int(n[x:y].min()))
-            points = np.stack([folded(v, m, cells) for v, m in zip(blobs[x:y], n[x:y].tolist())])
-            own = x + np.flatnonzero(side[x:y] == 0)
-            touched = np.zeros(y - x, bool)
-            for one, found in zip(own.tolist(), partners(k[x:y], n[x:y], comp[x:y], side[x:y], points)):
-                if len(found):
-                    touched[found] = touched[one - x] = True
-                    named = k[x + (found[:limit] if limit else found)]
-                    a.append(np.full(len(named), k[one]))
-                    b.append(named)
-            some = k[x:y][touched]
-            a.append(some)
-            b.append(some)
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        import pyarrow.compute as pc
+
+        own = rows.filter(pc.is_valid(rows.column("n"))).sort_by("key")
+        k, n, comp = (own.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "component"))
+        points = Points(n, own.column("cells").to_pylist())
+        del own
+        rows = rows.filter(pc.is_null(rows.column("n"))).select(["sign", "p", "q", "side", "key"])
+        sign, p, q, side, at = (rows.column(c).to_numpy() for c in ("sign", "p", "q", "side", "key"))
+        at = np.searchsorted(k, at)
+        order = np.lexsort((at, q, p, sign))
+        sign, p, q, side, at = sign[order], p[order], q[order], side[order], at[order]
+        cut = np.concatenate([[0], np.flatnonzero((sign[1:] != sign[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1])
+        many = np.diff(np.append(cut, len(sign)))
+        leaf = (many <= RTree.FAN) & (p[cut] == q[cut]) if len(sign) else np.zeros(0, bool)
+        found = [leaf_pairs(points, at, cut[leaf], many[leaf], comp)] if leaf.any() else []
+        for x, m in zip(cut[~leaf].tolist(), many[~leaf].tolist()) if len(sign) else ():
+            part, apart = at[x : x + m], side[x : x + m] == 1
+            found.append(tree_pairs(points, part[apart] if apart.any() else part, part[~apart], comp))
+        a, b = (np.concatenate(v) for v in zip(*found)) if found else (k[:0], k[:0])
+        pairs = np.unique(a * max(1, len(k)) + b)
+        a, b = pairs // max(1, len(k)), pairs % max(1, len(k))
+        if limit:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b = a[rank < limit], b[rank < limit]
+        return pa.table({"a": k[a], "b": k[b]})
 
     return run
 
 
-def fine_vector(h: np.ndarray) -> bytes:
-    """A set's counts in two cells a shingle or more, in bytes; a count over 255 is kept as 255 and the rest at the end."""
-    cells = 1 << max(6, (2 * len(h)).bit_length())
-    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    more = int(np.maximum(counts - 255, 0).sum())
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + more.to_bytes(4, "little")
-
-
-def _beside(rows) -> tuple[str, list]:
-    """The centre's blob and the (class, blob) beside it."""
-    a, blobs = rows.column("a").to_pylist(), rows.column("blob").to_pylist()
-    return next(s for x, s in zip(a, blobs) if x is None), [(x, s) for x, s in zip(a, blobs) if x is not None]
-
-
-def _pairs(kept: list, centre) -> "pa.Table":  # noqa: F821
-    import pyarrow as pa
-
-    return pa.table({"a": pa.array(kept, pa.int64()), "b": pa.array([centre.as_py()] * len(kept), pa.int64())})
-
-
-def _sift(key, rows):
-    """The classes whose fine count vector leaves the threshold possible: the leaf's bound once more, with more cells."""
-    centre, others = _beside(rows)
-    c, c_more = np.frombuffer(centre[:-4], np.uint8).astype(np.int32), int.from_bytes(centre[-4:], "little")
-    kept = []
-    for x, blob in others:
-        v, more = np.frombuffer(blob[:-4], np.uint8).astype(np.int32), int.from_bytes(blob[-4:], "little")
-        cells = min(len(c), len(v))
-        overlap = int(np.minimum(c.reshape(-1, cells).sum(axis=0), v.reshape(-1, cells).sum(axis=0)).sum()) + max(c_more, more)
-        if (ABOVE + BELOW) * overlap >= ABOVE * (int(c.sum()) + c_more + int(v.sum()) + more):
-            kept.append(x)
-    return _pairs(kept, key[0])
-
-
 def _verify(key, rows):
     """The classes whose exact similarity to the centre reaches the threshold."""
-    centre, others = _beside(rows)
-    centre, kept = np.frombuffer(centre, np.uint64), []
-    for x, blob in others:
+    import pyarrow as pa
+
+    a, blobs = rows.column("a").to_pylist(), rows.column("hashes").to_pylist()
+    centre, kept = next(np.frombuffer(s, np.uint64) for x, s in zip(a, blobs) if x is None), []
+    for x, blob in zip(a, blobs):
         s = np.frombuffer(blob, np.uint64)
         both = int((centre[np.minimum(np.searchsorted(centre, s), len(centre) - 1)] == s).sum())
-        if (ABOVE + BELOW) * both >= ABOVE * (len(s) + len(centre)):
+        if x is not None and (ABOVE + BELOW) * both >= ABOVE * (len(s) + len(centre)):
             kept.append(x)
-    return _pairs(kept, key[0])
+    return pa.table({"a": pa.array(kept, pa.int64()), "b": pa.array([key[0].as_py()] * len(kept), pa.int64())})
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -381,23 +431,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def met(scratch: Scratch, pairs: DataFrame, sets: DataFrame, column: str, judge) -> DataFrame:
-    """The pairs (a, b) that `judge` keeps: every class a travels to the centre b, a centre with many to several tasks."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
-    placed = scratch.write(pairs.join(parts, "b").select("a", "b", F.pmod(F.hash("a"), F.col("parts")).alias("part")), "placed")
-    blobs = sets.select("key", F.col(column).alias("blob"))
-    beside = blobs.join(small(placed), F.col("key") == F.col("a")).select("b", "part", "a", "blob")
-    centre = scratch.write(placed.select("b", "part").distinct(), "centres")
-    centre = blobs.join(small(centre), F.col("key") == F.col("b")).select("b", "part", F.lit(None).cast("bigint").alias("a"), "blob")
-    out = beside.unionByName(centre).groupBy("b", "part").applyInArrow(judge, "a bigint, b bigint")
-    out = scratch.write(out.distinct(), column)
-    scratch.release()
-    return out
+def sets_of(scratch: Scratch, texts: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets (key, hashes) of some classes, each from one of its texts."""
+    asked = scratch.write(keys.join(classes, "key").select("rep", "hash"), "asked")
+    known = texts.join(small(asked.filter("rep is not null").select("rep")), texts.id == F.col("rep")).select("id", "text")
+    nameless = texts.filter("id is null").withColumn("hash", F.xxhash64("text"))
+    nameless = nameless.join(small(asked.filter("rep is null").select("hash")), "hash").dropDuplicates(["hash"]).select("id", "text")
+    out = known.unionByName(nameless).mapInArrow(lean(_sets), "key bigint, hashes binary").join(small(keys), "key", "left_semi")
+    return scratch.write(out.dropDuplicates(["key"]), "sets")
 
 
 def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked pairs: sifted by fine count vectors, an eighth of the sets' bytes, then verified on the sets."""
-    return met(scratch, met(scratch, pairs, sets, "fine", _sift), sets, "hashes", _verify)
+    """The linked pairs among (a, b): every class a travels to the centre b, a centre with many to several tasks."""
+    parts = scratch.write(pairs.groupBy("b").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts")), "parts")
+    placed = pairs.join(small(parts), "b").select("b", F.pmod(F.hash("a"), F.col("parts")).alias("part"), "a")
+    centre = parts.select("b", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("bigint").alias("a"))
+    beside = placed.withColumn("key", F.col("a")).unionByName(centre.withColumn("key", F.col("b")))
+    beside = small(scratch.write(beside, "beside")).join(sets, "key").select("b", "part", "a", "hashes")
+    return scratch.write(beside.groupBy("b", "part").applyInArrow(_verify, "a bigint, b bigint"), "linked")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -407,81 +458,98 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     total = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # shingles, about
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def bits(rows: float) -> int:
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, int(rows / BUCKET)).bit_length()
+        return max(tasks - 1, int(rows / BUCKET)).bit_length()
 
     least = max(FREQUENT, int(8 * total / 2**32))
-    frequent = texts.mapInArrow(_all_shingles(bits(total / 4)), "bucket bigint, h binary").groupBy("bucket")
+    frequent = texts.select("id", "text").mapInArrow(lean(_all_shingles(bits(total / 4))), "bucket bigint, h binary, more binary").groupBy("bucket")
     frequent = scratch.write(frequent.applyInArrow(_frequent(least), "h bigint, n bigint"), "frequent")
     most = frequent.orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toArrow().column("h").to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(most.astype(np.uint32)))
+    scratch.drop(frequent)
     scratch.release()
 
-    kinds = "id bigint, n bigint, key bigint, cells binary, bucket bigint, h binary, k binary"
-    found = scratch.write(texts.mapInArrow(_postings(bits(total / 4), shared), kinds), "postings")
-    sizes = scratch.write(found.filter("bucket is null").select("id", "n", "key"), "sizes")
-    classes = scratch.write(sizes.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    kinds = "id bigint, n bigint, key bigint, cells binary, hash bigint, bucket bigint, h binary, k binary"
+    hashed = texts.select("id", "text", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("hash"))
+    found = scratch.write(hashed.mapInArrow(lean(_postings(bits(total / 4), shared)), kinds), "postings")
+    sizes = scratch.write(found.filter("bucket is null").select("id", "n", "key", "hash"), "sizes")
+    classes = sizes.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("hash").alias("hash"))
+    classes = scratch.write(classes, "classes")
     groups = found.filter("bucket is not null").select("bucket", "h", "k").groupBy("bucket")
     groups = scratch.write(groups.applyInArrow(_groups, "sign bigint, key bigint"), "buckets")
-    groups = scratch.write(groups.dropDuplicates(["sign", "key"]), "groups")
-    live = scratch.write(groups.select("key").distinct(), "live")
+    member = scratch.write(groups.dropDuplicates(["sign", "key"]).withColumn("component", F.col("key")), "groups")
+    scratch.drop(groups)
+    live = scratch.write(member.select("key").distinct(), "live")
     points = found.filter("bucket is null").select("key", "n", "cells").join(small(live), "key").dropDuplicates(["key"])
     points = scratch.write(points, "points")
     scratch.drop(found)
     scratch.release()
 
-    sets = edges = None
-    judged = spark.createDataFrame([], "a bigint, b bigint")
-    member = groups.withColumn("component", F.col("key"))
-    for limit in (*LIMITS, 0):
+    judged, edges = spark.createDataFrame([], "a bigint, b bigint"), None
+    for turn, limit in enumerate((*LIMITS, 0)):
         parts = F.ceil(F.count("*") / TILE).cast("int")
-        mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts"))
-        tiles = member.join(mixed.filter("low < high").select("sign", "parts"), "sign").join(points, "key")
-        tiles = tiles.withColumn("part", F.pmod(F.hash("key"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        tiles = tiles.select(
-            "sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "n", "component", "cells"
+        mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("first"), parts.alias("parts"), F.count("*").alias("many"))
+        mixed = scratch.write(mixed.filter("low < high").select("sign", "first", "parts", "many"), "mixed")
+        buckets = max(tasks, mixed.agg(F.sum("many")).first()[0] or 0) // SEARCHED + tasks
+        tiles = member.join(mixed, "sign").withColumn("part", F.pmod(F.hash("sign", "key"), "parts"))
+        # in the first round a class meets its own part of each group alone; other groups part it otherwise
+        others = F.expr("sequence(0, parts - 1)") if turn else F.array("part")
+        tiles = tiles.withColumn("other", F.explode(others)).select(
+            "sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "component", "many", "first"
         )
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), member.count() // SEARCHED)
-        tiles = tiles.withColumn("bucket", F.pmod(F.hash("sign", "p", "q"), F.lit(buckets))).groupBy("bucket")
-        named = scratch.write(tiles.applyInArrow(_search(limit), "a bigint, b bigint").distinct(), "named")
-        pairs = scratch.write(named.filter("a <> b").join(judged, ["a", "b"], "left_anti"), "pairs")
-        touched = scratch.write(named.filter("a = b").select(F.col("a").alias("key")), "touched")
-        if sets is None:
-            own = scratch.write(touched.join(classes, "key").select("rep"), "own")
-            own = texts.join(small(own), texts.id == F.col("rep")).select("id", "text")
-            sets = scratch.write(own.mapInArrow(_sets, "key bigint, fine binary, hashes binary"), "sets")
-        if touched.isEmpty():
-            break
+        # small groups with the same first class, which are as many as its first shingles at most, meet in one bucket, so that a pair of theirs comes once
+        bucket = F.when(F.col("many") <= RTree.FAN, F.hash("first")).otherwise(F.hash("sign", "p", "q"))
+        tiles = scratch.write(tiles.select(F.pmod(bucket, F.lit(buckets)).alias("bucket"), "sign", "p", "q", "side", "key", "component"), "tiles")
+        placed = tiles.select("bucket", "key", "component").distinct().join(points, "key")
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("sign", "bigint"), ("p", "int"), ("q", "int"), ("side", "int"))]
+        placed = placed.select("bucket", *none, "key", "component", "n", "cells")
+        rows = tiles.select("bucket", "sign", "p", "q", "side", "key", F.lit(None).cast("bigint").alias("component"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("cells"))
+        named = scratch.write(rows.unionByName(placed).groupBy("bucket").applyInArrow(_search(limit), "a bigint, b bigint").distinct(), "named")
+        scratch.drop(tiles)
+        pairs = named if turn else named.groupBy("a").agg(F.min("b").alias("b"))
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = scratch.write(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
+            keys = scratch.write(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
+            sets = sets_of(scratch, texts, classes, keys)
             linked = verified(scratch, pairs, sets)
+            scratch.drop(sets)
             edges = linked if edges is None else edges.unionByName(linked)
             judged = judged.unionByName(pairs)
-        del named, mixed, tiles
-        if limit == 0 or edges is None:
+        if not limit or (not turn and named.isEmpty() and mixed.filter("parts > 1").isEmpty()):
             break
-        parts = scratch.write(components(scratch, edges), "components")
-        member = member.drop("component").join(touched, "key", "left_semi").join(parts.withColumnRenamed("id", "key"), "key", "left")
-        member = scratch.write(member.withColumn("component", F.coalesce("component", "key")), "member")
+        # who has had no partner at all has none later, but for groups in several parts, of which the first round saw no whole
+        touched = scratch.write(named.select(F.col("a").alias("key")).distinct(), "touched")
+        stays = member.join(touched, "key", "left_semi")
+        if not turn:
+            big = mixed.filter("parts > 1").select("sign")
+            stays = stays.unionByName(member.join(touched, "key", "left_anti").join(big, "sign", "left_semi"))
+        if edges is not None:
+            parts = scratch.write(components(scratch, edges), "components")
+            stays = stays.drop("component").join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        before, member = member, scratch.write(stays.select("sign", "key", "component"), "member")
+        scratch.drop(before)
         scratch.release()
-    out = sizes.join(classes.select("key", "rep"), "key", "left")
+    out = sizes.select("id", "n", "key").join(classes.select("key", "rep"), "key", "left")
     if edges is not None:
         parts = components(scratch, edges)
         lowest = parts.withColumnRenamed("id", "key").join(classes, "key").groupBy("component").agg(F.min("rep").alias("low"))
         parts = scratch.write(parts.join(lowest, "component").select(F.col("id").alias("key"), "low"), "result")
-        out = out.join(parts, "key", "left")
+        out = out.join(small(parts), "key", "left")
     else:
         out = out.withColumn("low", F.lit(None).cast("bigint"))
+    scratch.drop(points)
+    scratch.release()
     alone = F.when(F.col("n") > 0, F.coalesce("low", "rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
 def _sets(batches):
-    """Every text's set, and its fine count vector."""
+    """Every text's set."""
     import pyarrow as pa
 
     for _, a, b, who, h in set_parts(batches):
         size, key = set_keys(who, h, b - a)
-        own = np.split(h, np.cumsum(size)[:-1])
-        blobs = [pa.array([f(x) for x in own], pa.binary()) for f in (fine_vector, np.ndarray.tobytes)]
-        yield pa.RecordBatch.from_arrays([pa.array(key), *blobs], names=["key", "fine", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([x.tobytes() for x in np.split(h, np.cumsum(size)[:-1])], pa.binary())], names=["key", "hashes"])

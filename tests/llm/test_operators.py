@@ -63,13 +63,32 @@ def test_jaccard_tree_keeps_every_pair():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 400, dtype=np.int64).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(400) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 90), dtype=np.int64).astype(np.uint64)])) for _ in range(80)]
-    size = np.array([len(s) for s in sets])
-    cells = jaccard.cells_of(int(size.min()))
-    points = np.stack([jaccard.folded(jaccard.count_vector(s), len(s), cells) for s in sets])
-    zeros, keys = np.zeros(80, np.int64), np.arange(80)
-    found = {(a, int(b)) for a, near in enumerate(jaccard.partners(keys, size, keys, zeros, points)) for b in near}
-    true = {(a, b) for a in range(80) for b in range(a) if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (size[a] + size[b])}
-    assert true and true <= found
+    order = np.argsort([len(s) for s in sets])[::-1]
+    sets = [sets[i] for i in order]
+    points = jaccard.Points(np.array([len(s) for s in sets]), [jaccard.count_vector(s) for s in sets])
+    comp, every = np.arange(80), np.arange(80)
+    true = {(a, b) for a in range(80) for b in range(a) if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
+    by_tree = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, every, every, comp))))
+    by_sides = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, every[::2], every[1::2], comp))))
+    by_leaf = set(zip(*(x.tolist() for x in jaccard.leaf_pairs(points, every, np.array([0]), np.array([80]), comp))))
+    assert true and true <= by_tree and by_tree == by_leaf
+    assert {(a, b) for a, b in true if a % 2 != b % 2} <= by_sides
+    bits = rng.integers(0, 1 << 62, 3000, dtype=np.int64).astype(np.uint64)
+    wide = np.frombuffer(jaccard.count_vector(bits), np.uint8).reshape(1, 3, -1)
+    counts = np.bincount((bits & np.uint64(wide.shape[2] * 4 - 1)).astype(np.int64))
+    assert (np.unpackbits(jaccard.folded(wide), axis=2, bitorder="little").sum(axis=1)[0] == np.minimum(counts, 3)).all()
+
+
+def test_jaccard_null_ids_and_long_texts(spark):
+    rng = random.Random(5)
+    a, b, c = (text(rng, 60) for _ in range(3))
+    rows = [(None, a), (4, a + " end"), (None, a), (None, b), (None, b + " end"), (7, c), (9, None), (None, None), (None, "")]
+    long = text(rng, 60_000)
+    rows += [(20, long), (21, long.upper() + "  "), (22, "start " + long)]
+    got = sorted(map(tuple, jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    sizes = {i: n for i, n, _ in got if i is not None}
+    assert len(got) == len(rows) and [x for x in got if x[0] in (4, 7, 9, 20, 21, 22)] == sorted([(4, 57, 4), (7, 56, 7), (9, 0, 9), (20, sizes[20], 20), (21, sizes[20], 20), (22, sizes[20] + 1, 20)], key=str)
+    assert sorted([(n, c) for i, n, c in got if i is None and n], key=str) == sorted([(56, 4), (56, 4), (56, None), (57, None)], key=str)
 
 
 def brute_suffix(rows):
