@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import types
 import uuid
@@ -65,16 +67,27 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local["):
-        return "/tmp/checkpoints"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
+    """Tables written to the shared folder: they cut lineage and survive the loss of executors.
+
+    What is not dropped before stays until the driver ends, as results may still
+    read it, and is then deleted.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{len(self.made):03d}-{name}"
@@ -88,8 +101,7 @@ class Scratch:
         """Delete a table that no later plan reads."""
         path = getattr(df, "scratch_path", None)
         if path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
 
     def release(self) -> None:
         """Let Spark remove the shuffle files of plans that are finished."""
@@ -125,6 +137,21 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES):
         start = end
 
 
+def cut_at(data: np.ndarray, apart: np.ndarray, size: int = SLICE_BYTES):
+    """Ranges of a long text of about `size` bytes each that end before a byte of the kind `apart`."""
+    start = 0
+    while start < len(data):
+        end = start + size
+        while end < len(data):
+            found = np.flatnonzero(apart[data[end : end + size]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += size
+        yield start, min(end, len(data))
+        start = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -241,34 +268,60 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
+#: Groups that a sample takes rows of at most, the largest of them.
+GROUPS = 1000
+
+
 def labelled_sample(df: DataFrame, key: str, group: str, rows: int, text: str | None = None, size: int = 0) -> DataFrame:
-    """About `rows` rows and, given a text, at most about `size` bytes of it, of each group, chosen by a hash of the key.
+    """About `rows` rows and, given a text, about `size` bytes of it, of each of the GROUPS largest groups, chosen by a hash of the key.
 
-    The bound holds whatever the table's size: one aggregate counts the groups,
-    and each row is then kept by its own hash, so no group meets in one task.
+    Works at any size of the table: one aggregate counts the groups, and each
+    row is then kept by 62 bits of its own hash, so no group meets in one task
+    and no share is too small.
     """
-    from functools import reduce
-
-    weight = F.sum(F.octet_length(text)) if text else F.lit(0)
-    counts = df.groupBy(group).agg(F.count("*").alias("n"), weight.alias("b")).collect()
-    share = F.lit(0)
+    weight = F.sum(F.octet_length(text).cast("bigint")) if text else F.lit(0)
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), weight.alias("b")).orderBy(F.desc("n"), group).limit(GROUPS).collect()
+    share = F.lit(0).cast("bigint")
     for c in counts:
         part = min(1.0, rows / max(1, c["n"]), size / max(1, c["b"]) if text and c["b"] else 1.0)
-        share = F.when(F.col(group).eqNullSafe(F.lit(c[group])), F.lit(int(part * 1_000_000))).otherwise(share)
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)
+        share = F.when(F.col(group).eqNullSafe(F.lit(c[group])), F.lit(max(1, int(part * 2**62)))).otherwise(share)
+    return df.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 2) < share)
+
+
+def bounded_sample(scratch: Scratch, df: DataFrame, key: str, group: str, text: str, rows: int, size: int):
+    """An Arrow table of a bounded sample's columns, in the order of the keys: of each group `rows` rows and `size` bytes of text at most.
+
+    The rows come from a sample of about that size, in the order of a second
+    hash, as long as their bytes fit; a text that alone has more is left out.
+    """
+    from pyspark.sql import Window
+
+    order = F.xxhash64(F.lit("rank"), key)
+    held = scratch.write(labelled_sample(df, key, group, rows, text, size), "sample")
+    fits = held.select(key, group, F.octet_length(text).cast("bigint").alias("bytes")).filter(F.col("bytes") <= size)
+    before = Window.partitionBy(group).orderBy(order, key)  # over keys and lengths of the sample alone
+    fits = fits.withColumn("sum", F.sum("bytes").over(before.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(before))
+    fits = scratch.write(fits.filter((F.col("sum") <= size) & (F.col("nth") <= rows)).select(key).distinct(), "fits")
+    out = held.join(F.broadcast(fits), key).filter(F.octet_length(text) <= size).dropDuplicates([key]).toArrow().sort_by(key)
+    scratch.drop(held)
+    scratch.drop(fits)
+    return out
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, size: int):
     """An Arrow table (k, x, y) of a bounded sample of texts with a label of 0 or 1, in the order of their keys.
 
     The labels are sampled before they meet the texts, so that the texts are
-    read once and don't move; each label has about `rows` rows and `size` bytes.
+    read once and don't move; of each label it has `rows` rows and `size` bytes
+    at most.  Where a key has several labels the largest counts, where it has
+    several texts one of them.
     """
+    scratch = Scratch(docs.sparkSession, "sample")
     marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and k is not null")
-    marks = labelled_sample(marks.groupBy("k").agg(F.max("y").alias("y")), "k", "y", rows)  # bounded by `rows`, so it may be broadcast
+    marks = scratch.write(labelled_sample(marks.groupBy("k").agg(F.max("y").alias("y")), "k", "y", rows), "marks")  # about 2 * rows: may be broadcast
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("x")).join(F.broadcast(marks), "k")
-    scratch = Scratch(docs.sparkSession, "sample")
-    held = scratch.write(texts, "texts")
-    out = labelled_sample(held, "k", "y", rows, "x", size).select("k", "x", "y").toArrow().sort_by("k")
-    scratch.drop(held)
+    texts = scratch.write(texts.select("k", "x", "y"), "texts")
+    out = bounded_sample(scratch, texts, "k", "y", "x", rows, size)
+    scratch.drop(marks)
+    scratch.drop(texts)
     return out

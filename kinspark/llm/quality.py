@@ -4,8 +4,8 @@ Every byte of a text has a learnt vector.  Learnt filters read KERNEL bytes at
 every STRIDE-th byte; their largest answers in chunks of two BLOCKs, each chunk
 overlapping the next by one BLOCK, describe the chunk.  A hidden layer reads
 each chunk's description, and the largest answer of each hidden unit over all
-chunks of the text makes one probability.  The whole text is read, however long;
-memory follows the slice of text at hand.
+chunks of the text makes one probability.  The whole text is read, however long,
+in slices of SLICE_BYTES, which memory follows.
 
 Defined results: a null or empty text is one chunk of padding; repeated rows
 score alike; rows without a label aren't learned from; extra columns are left
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, labelled_texts, slices, spread, text_bytes
+from .common import SLICE_BYTES, bounded_batches, labelled_texts, lean, slices, spread, text_bytes
 
 #: Bounds of the training sample for each label: rows, and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 6 << 20
@@ -68,9 +68,22 @@ class ByteNetwork:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
         for a, b in slices(offsets):
-            out[a:b] = self.layers(*padded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))["z"]
+            part = data[offsets[a] : offsets[b]]
+            if b == a + 1 and len(part) > 2 * SLICE_BYTES:
+                out[a] = self.long_text(part)
+            else:
+                out[a:b] = self.layers(*padded(part, offsets[a : b + 1] - offsets[a]))["z"]
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
+    def long_text(self, data: np.ndarray) -> float:
+        """The last answer to one text, read in parts of SLICE_BYTES and the two blocks that these look into."""
+        step, n, pooled = SLICE_BYTES // BLOCK, -(-len(data) // BLOCK), np.zeros(HIDDEN)
+        for i in range(0, n, step):
+            part = data[i * BLOCK : (i + step + 2) * BLOCK]
+            hidden = self.layers(*padded(part, np.array([0, len(part)])))["hidden"]
+            pooled = np.maximum(pooled, hidden[:step].max(axis=0))
+        return float(pooled @ self.weights["out"] + self.weights["out0"][0])
+
     def gradients(self, data: np.ndarray, blocks: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted cross-entropy; each maximum passes it on to the place where it was reached."""
         w, a = self.weights, self.layers(data, blocks)
@@ -162,13 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: ByteNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score): the probability that each whole text is good."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        net = ByteNetwork(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(*text_bytes(batch.column(1))))], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(*text_bytes(batch.column(1))))], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, score double")

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import HashIndex, Rolling, bounded_batches, labelled_texts, slices, text_bytes
+from .common import HashIndex, Rolling, bounded_batches, cut_at, labelled_texts, lean, slices, text_bytes
 
 #: Bounds of the training sample for each label: rows, and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
@@ -68,22 +68,27 @@ class FactorizationMachine:
         self.keys, self.bias, self.w, self.v, self.slope, self.shift = keys, bias, w, v, slope, shift
         self.index = HashIndex(keys)
 
-    def __reduce__(self):
-        return FactorizationMachine, (self.keys, self.bias, self.w, self.v, self.slope, self.shift)
+    def arrays(self) -> tuple:
+        """What the machine is made of again, without this class."""
+        return self.keys, self.bias, self.w, self.v, self.slope, self.shift
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         total = np.full(n, self.bias)
         for a, b in slices(offsets):
-            who, key = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            at = self.index.find(key)
-            pair = np.unique((who[at >= 0].astype(np.int64) << 32) | at[at >= 0])
+            part, pairs = data[offsets[a] : offsets[b]], []
+            # a long text is read in parts, which words don't cross
+            for x, y in cut_at(part, ~_WORD) if b == a + 1 else [(0, len(part))]:
+                who, key = terms(part[x:y], offsets[a : b + 1] - offsets[a] if b > a + 1 else np.array([0, y - x]))
+                at = self.index.find(key)
+                pairs.append(np.unique((who[at >= 0].astype(np.int64) << 32) | at[at >= 0]))
+            pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
             total[a:b] += self.raw(pair >> 32, pair & 0xFFFFFFFF, b - a)
         return 1 / (1 + np.exp(-np.clip(self.slope * total + self.shift, -40, 40)))
 
     def raw(self, who: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         half = 0.5 / np.maximum(1, np.bincount(who, minlength=n))
-        out = np.bincount(who, self.w[at], n)
+        out = np.bincount(who, self.w[at], n).astype(float)  # without terms it would count in integers
         for f in range(self.v.shape[1]):
             x = self.v[at, f]
             out += half * (np.bincount(who, x, n) ** 2 - np.bincount(who, x * x, n))
@@ -131,6 +136,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Factorizati
             z += half * ((sums**2).sum(1) - np.bincount(x, (v[t] ** 2).sum(1), len(rows)))
             d = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
             bias -= RATE * d.sum() / np.sqrt(gb := gb + d.sum() ** 2)
+            if not len(t):
+                continue
             u, t = np.unique(t, return_inverse=True)
             dx, dh = d[x], (2 * d * half)[x]
             g = np.bincount(t, dx, len(u))
@@ -174,13 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score): the probability that each whole text is toxic."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        machine = FactorizationMachine(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(*text_bytes(batch.column(1))))], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.scores(*text_bytes(batch.column(1))))], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, score double")
