@@ -1,6 +1,13 @@
 """The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and works on all that the one before kept.
 
-Rows whose doc_id is null are kept by the filters, which can't judge them.
+Defined results of all stages: rows whose doc_id is null are kept by the
+filters, which can't name them; rows with one doc_id are one document, which
+goes or stays as a whole, so repeated rows stay as often as they came; null and
+empty texts are neither toxic nor near copies nor leaks and stay as they are
+until the last stage, where both have no tokens; very long texts are judged
+whole; of equal documents the smallest doc_id stays; extra columns, also with
+names that an operator uses, go through all stages but the last; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,13 +41,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that an earlier one has; bytes left of a cut character are dropped."""
-    cut = suffix.cut_repeats(docs.filter("doc_id is not null"), whole=True).filter("n_removed > 0")
-    cut = cut.select("doc_id", F.col("kept").cast("string").alias("rest"))
-    cut = Scratch(spark, "repeats").write(cut, "cut")
-    text = F.coalesce("rest", "text")
-    kept = docs.join(cut, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest").cast(docs.schema["n_chars"].dataType)))
-    return kept.select(docs.columns)
+    """Every document without the passages that an earlier one has; bytes left of a cut character are dropped.
+
+    Texts without such a passage, null and empty ones too, stay as they are, as do
+    all other columns; n_chars, where there is one, follows the text.
+    """
+    names = docs.columns
+    cut = suffix.cut_repeats(docs, whole=True, carry=tuple(names))
+    kept = F.col("kept").cast("string")
+
+    def column(i: int, name: str):
+        new = kept if name == "text" else F.char_length(kept).cast(docs.schema[name].dataType) if name == "n_chars" else None
+        old = F.col(f"c{i}")
+        return (old if new is None else F.when(F.col("n_removed") > 0, new).otherwise(old)).alias(name)
+
+    return cut.select([column(i, name) for i, name in enumerate(names)])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
