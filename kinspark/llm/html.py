@@ -9,6 +9,12 @@ open.  The second pass gives each open block the label of the nearest decided
 block, first within its own article, the earlier one on a tie.  Good blocks,
 white space made single, are joined by line feeds in page order.
 
+A class or id says that an element stands around the article if one of its parts
+is among the CUES (`cookie-notice`, `sidebar_left`), but not after a part such as
+`no` or `with`, which speak of the page's layout; `header` says nothing inside
+an article.  Where cues alone leave no text of a page that has an
+article or main element, the cues outside of these are set aside.
+
 Defined results: a null or empty page has the empty text; text before any tag
 is a block of its own; unclosed elements last to the end of what holds them, an
 unclosed comment, script or tag drops the rest of the page, an unclosed head
@@ -23,7 +29,7 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 #: Characters under which a block is short, and from which it needs fewer stop words.
 SHORT, LONG = 40, 200
@@ -42,7 +48,7 @@ STOP_WORDS = {
 _STOPS = [frozenset(x.split()) for x in STOP_WORDS.values()]
 
 #: Elements whose text is never shown or never part of an article.
-DROPPED = "script|style|noscript|template|iframe|object|svg|math|select|textarea|title|canvas|audio|video"
+DROPPED = "script|style|noscript|template|iframe|object|svg|annotation-xml|annotation|select|textarea|title|canvas|audio|video"
 #: Elements that hold what stands around an article.
 AROUND = frozenset("nav footer aside form dialog menu button".split())
 #: Words in class, id or role that mark the same.
@@ -53,6 +59,10 @@ CUES = frozenset(
     "discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox form widget "
     "pagination pager copyright legal disclaimer hidden".split()
 )
+#: Parts of a class after which its other parts tell of a layout.
+LAYOUTS = frozenset("no not with without has have is hide show layout two three".split())
+#: Cues that say nothing inside an article, whose own parts they name.
+HEADS = frozenset("header masthead".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption button".split()
@@ -80,28 +90,32 @@ class Block:
         self.text, self.linked, self.around, self.article, self.label = text, linked, around, article, None
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id or role say that an element stands around the article, or the element is hidden."""
+def marked(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role say that an element, which may be inside an article, stands around it, or the element is hidden."""
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        if not CUES.isdisjoint(_PART.split((a or b or c).lower())):
-            return True
+        for name in (a or b or c).lower().split():
+            for part in _PART.split(name):
+                if part in LAYOUTS:
+                    break
+                if part in CUES and not (inside and part in HEADS):
+                    return True
     return bool(_HIDDEN.search(attributes))
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, the empty ones left out."""
+def blocks_of(page: str, yields: bool = False) -> list[Block]:
+    """The blocks of a page in order, the empty ones left out; with `yields`, cues outside an article or main element don't reach into it."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, whether around the article, number of the article
+    stack: list[tuple[str, int, int]] = []  # open elements: tag, whether around the article (1: by a cue), number of the article
     held: dict[str, list[int]] = {}  # places of the open elements of each tag
-    around, article, articles, links, at, breaks, own, head = False, 0, 0, 0, 0, 0, False, False
+    around, article, articles, links, at, breaks, own, head = 0, 0, 0, 0, 0, 0, False, False
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(x for x, _ in parts)).split())
             if text:
                 linked = len(" ".join(unescape("".join(x for x, y in parts if y)).split()))
-                out.append(Block(text, linked, around or own, article))
+                out.append(Block(text, linked, around > 0 or own, article))
             parts.clear()
 
     for m in _TOKEN.finditer(page):
@@ -136,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         attributes = m["attr"]
         if tag == "p":
-            own = not end and bool(attributes) and marked(attributes)
+            own = not end and bool(attributes) and marked(attributes, article > 0)
             continue
         if not end:
             if attributes.endswith("/"):
@@ -147,10 +161,15 @@ def blocks_of(page: str) -> list[Block]:
                 if not article:
                     articles += 1
                     article = articles
-            elif tag in AROUND or (tag == "header" and not article) or (attributes and marked(attributes)):
+                    around = 0 if yields and around == 1 else around
+                if attributes and marked(attributes, True):
+                    around = max(around, 1)
+            elif tag in AROUND or (tag == "header" and not article):
+                around = 2
+            elif attributes and marked(attributes, article > 0):
                 if tag not in BLOCK_TAGS:
                     close()
-                around = True
+                around = max(around, 1)
         else:
             if held.get(tag):
                 k = held[tag][-1]
@@ -220,10 +239,15 @@ def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    for block in blocks:
-        decide(block)
-    return "\n".join(b.text for b, good in zip(blocks, inherit(blocks)) if good)
+    text = ""
+    for yields in (False, True):
+        blocks = blocks_of(page, yields)
+        for block in blocks:
+            decide(block)
+        text = "\n".join(b.text for b, good in zip(blocks, inherit(blocks)) if good)
+        if text or not any(b.article for b in blocks):
+            break
+    return text
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -238,4 +262,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             text = pa.array([main_text(x) for x in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=[key, url, "text"])
 
-    return pages.select(key, url, html).mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string")
+    return pages.select(key, url, html).mapInArrow(lean(run), f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string")
