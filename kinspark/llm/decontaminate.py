@@ -3,24 +3,31 @@
 Words become a template: numbers, units and names (capitalised words inside a
 sentence) turn into typed placeholders, the others into their lower-case letters
 and digits.  Windows of WINDOW template words of the benchmark items are joined
-by hash with those of all documents.  A document that holds at least COVERAGE of
-an item's distinct windows is then laid beside the item at every place where a
-window of both stands, and once more with each window at a place of its own, for
-copies with words put in or left out (of a window's places the one whose shift
-most windows have).  If in one of these one value of the item's slots always
-stands for one value of the document's, the document is contaminated, `exact` if
-in one all slots are equal and `reparameterised` if not.
+by hash with those of all documents; an item's first window also as it reads
+inside a sentence, where a capitalised first word is a name.  A document that
+holds at least COVERAGE of an item's distinct windows is then laid beside the
+item at every place where a window of both stands, and once more with each
+window at a place of its own, for copies with words put in or left out (of a
+window's places the one whose shift most windows have).  If in one of these one
+value of the item's slots always stands for one value of the document's, the
+document is contaminated.
+
+The kind is `exact` if at one place all words of the item stand, but for case
+and the punctuation around them; `partial` if words are missing or others, but
+all slots that meet are equal; `reparameterised` if slots have other values.
 
 Only DataFrame functions are used.  Documents send distinct window hashes into
 the join, no text; an item's windows are broadcast after their number was
 checked, and joined by shuffle beyond it; texts are read again only for the
-candidates, broadcast behind the same check.
-
-Defined results: null and empty texts hold nothing; items of fewer than LEAST
-words match nothing, those of fewer than WINDOW match as one window; windows
-with fewer than LITERAL words that are no placeholders count for nothing, and an
-item without any other window matches nothing; repeated rows count once;
-extra columns are left out; empty tables give an empty table.
+candidates, whose keys are broadcast behind the same check.
+
+Defined results: null and empty texts hold nothing, documents and items without
+a key match nothing; items of fewer than LEAST words match nothing (a word or
+two stand in many clean documents; a text without spaces is one word), those of
+fewer than WINDOW words match as one window; windows with fewer than LITERAL
+words that are no placeholders count only for items that have no others, which
+must then be there word for word; repeated rows count once; extra columns are
+left out; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -81,10 +88,15 @@ def templated(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
             .otherwise(F.lower(bare))
         )
 
+    return windows_of(out.withColumn("words", F.zip_with("bare", "before", one)).drop("bare", "before"), sizes)
+
+
+def windows_of(out: DataFrame, sizes: list[int]) -> DataFrame:
+    """With w1, w2.. (windows of the sizes) beside the words of a template."""
+
     def both(a: Column, b: Column) -> Column:
         return F.xxhash64(a, b).bitwiseAND(-16).bitwiseOR(a.bitwiseAND(15) + b.bitwiseAND(15))
 
-    out = out.withColumn("words", F.zip_with("bare", "before", one)).drop("bare", "before")
     out = out.withColumn("w1", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(-16).bitwiseOR(F.when(is_slot(w), 0).otherwise(1).cast("bigint"))))
     made = {1}
 
@@ -103,69 +115,90 @@ def templated(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     return out
 
 
-def counting(windows: str, size: int) -> Column:
-    """The windows with enough literal words, each once; windows without a placeholder always count."""
-    least = min(LITERAL, size)
-    return F.array_distinct(F.filter(windows, lambda w: w.isNotNull() & (w.bitwiseAND(15) >= least)))
+def counting(windows: str) -> Column:
+    """The windows with enough literal words, each once."""
+    return F.array_distinct(F.filter(windows, lambda w: w.isNotNull() & (w.bitwiseAND(15) >= LITERAL)))
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table if its rows are few enough."""
+    """Broadcast a written table of a few numbers a row if its rows are few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def other_reading(words: Column, raw: Column) -> Column:
+    """The words of a template with the first one, if it is a capitalised word, as a name, as inside a sentence."""
+    first = F.substring(plain(F.get(raw, F.lit(0))), 1, 1)
+    named = (F.lower(first) != first) & ~is_slot(F.get(words, F.lit(0)))
+    return F.when(named, F.concat(F.array(F.lit(NAME)), F.slice(words, 2, F.size(words))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Rows (key, item, n_windows, coverage, kind): every document and item that it contains."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     sizes = list(range(LEAST, WINDOW + 1))
     items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("item is not null").dropDuplicates()
     items = templated(items, "text", sizes).filter(F.size("words") >= LEAST).withColumn("span", F.least(F.size("words"), F.lit(WINDOW)))
-    own = F.coalesce(*[F.when(F.col("span") == n, F.col(f"w{n}")) for n in sizes])
-    counted = F.coalesce(*[F.when(F.col("span") == n, counting(f"w{n}", n)) for n in sizes])
-    items = scratch.write(items.select("item", "span", F.col("raw").alias("item_raw"), F.col("words").alias("item_words"), own.alias("own"), counted.alias("counted")), "items")
-    pieces = scratch.write(items.select("item", F.explode("counted").alias("hash"), F.size("counted").alias("total")), "windows")
+    own = F.coalesce(*[F.when(F.col("span") == n, F.filter(f"w{n}", F.isnotnull)) for n in sizes])
+    items = items.select("item", "span", F.col("raw").alias("item_raw"), F.col("words").alias("item_words"), own.alias("own")).withColumn("literal", counting("own"))
+    # an item of hardly any literal words counts by all its windows, and must then be there word for word
+    items = items.withColumn("counted", F.when(F.size("literal") > 0, F.col("literal")).otherwise(F.array_distinct("own"))).withColumn("strict", F.size("literal") == 0).drop("literal")
+    second = windows_of(items.select("item", "item_raw", "strict", "span", other_reading(F.col("item_words"), F.col("item_raw")).alias("words")).filter("words is not null"), sizes)
+    second = second.select("item", "item_raw", F.coalesce(*[F.when(F.col("span") == n, F.get(f"w{n}", F.lit(0))) for n in sizes]).alias("second"))
+    items = scratch.write(items.join(second, ["item", "item_raw"], "left"), "items")
+    # (item, hash, the window that it stands for, number of windows); the first window may stand under two hashes
+    pieces = items.select("item", F.explode("counted").alias("hash"), F.size("counted").alias("total")).withColumn("window", F.col("hash"))
+    heads = items.filter("second is not null and array_contains(counted, own[0])").select("item", F.col("second").alias("hash"), F.size("counted").alias("total"), F.expr("own[0]").alias("window"))
+    pieces = scratch.write(pieces.unionByName(heads), "windows")
     spans = sorted(r[0] for r in items.select("span").distinct().collect())  # at most WINDOW values
 
     held = templated(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", spans)
-    found = F.concat(*[counting(f"w{n}", n) for n in spans]) if spans else F.array().cast("array<bigint>")
+    found = F.concat(*[F.array_distinct(F.filter(f"w{n}", F.isnotnull)) for n in spans]) if spans else F.array().cast("array<bigint>")
     # explode() would have the optimizer push a filter on the arrays' size below, and build them once more for it
-    held = held.select("id", F.explode_outer(found).alias("hash")).filter("hash is not null")
+    held = held.select("id", F.explode_outer(found).alias("hash")).filter("hash is not null and id is not null")
     pairs = held.join(small(pieces), "hash")
-    pairs = pairs.groupBy("id", "item").agg(F.count_distinct("hash").alias("n_windows"), F.first("total").alias("total"))
+    pairs = pairs.groupBy("id", "item").agg(F.count_distinct("window").alias("n_windows"), F.first("total").alias("total"))
     pairs = scratch.write(pairs.filter(F.col("n_windows") >= COVERAGE * F.col("total")), "pairs")
 
-    near = small(scratch.write(pairs.join(items.drop("counted"), "item"), "candidates"))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(near, "id")
-    both = templated(texts, "text", spans)
+    near = small(scratch.write(pairs.select("id").distinct(), "candidates"))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(near, "id", "left_semi")
+    both = templated(texts, "text", spans).select("id", "raw", "words", *[f"w{n}" for n in spans])
+    both = both.join(pairs, "id").join(items.drop("counted"), "item")
     theirs = F.coalesce(*[F.when(F.col("span") == n, F.col(f"w{n}")) for n in spans]) if spans else F.col("own")
-    both = both.select(F.monotonically_increasing_id().alias("row"), "id", "item", "n_windows", "total", "span", "item_raw", "item_words", "raw", "words", theirs.alias("theirs"))
+    both = both.select(F.monotonically_increasing_id().alias("number"), "id", "item", "n_windows", "total", "span", "strict", "item_raw", "item_words", "raw", "words", theirs.alias("theirs"))
     both = scratch.write(both, "beside")
-    places = items.select("item", "counted", F.posexplode_outer("own").alias("i", "hash")).filter("array_contains(counted, hash)").select("item", "i", "hash")
+    places = items.select("item", "counted", "second", F.posexplode_outer("own").alias("i", "hash")).filter("array_contains(counted, hash)")
+    places = places.select("item", "i", "hash").unionByName(places.filter("i = 0 and second is not null").select("item", "i", F.col("second").alias("hash"))).distinct()
     places = small(scratch.write(places, "places"))
-    met = both.select("row", "item", F.posexplode_outer("theirs").alias("j", "hash")).filter("hash is not null").join(places, ["item", "hash"])
-    met = scratch.write(met.select("row", "i", (F.col("j") - F.col("i")).alias("shift")), "met")
-    shifts = met.groupBy("row", "shift").agg(F.count("*").alias("n"))
-    own = met.join(shifts, ["row", "shift"]).groupBy("row", "i").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"))
-    own = own.groupBy("row").agg(F.collect_list(F.struct("i", (-F.col("best.back")).alias("shift"))).alias("laid"))
-    both = both.drop("theirs").join(shifts.groupBy("row").agg(F.collect_list("shift").alias("shifts")), "row").join(own, "row")
+    met = both.select("number", "item", F.posexplode_outer("theirs").alias("j", "hash")).filter("hash is not null").join(places, ["item", "hash"])
+    met = scratch.write(met.select("number", "i", (F.col("j") - F.col("i")).alias("shift")), "met")
+    shifts = met.groupBy("number", "shift").agg(F.count("*").alias("n"))
+    own = met.join(shifts, ["number", "shift"]).groupBy("number", "i").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"))
+    own = own.groupBy("number").agg(F.collect_list(F.struct("i", (-F.col("best.back")).alias("shift"))).alias("laid"))
+    both = both.drop("theirs").join(shifts.groupBy("number").agg(F.collect_list("shift").alias("shifts")), "number").join(own, "number")
     slot = "struct(item_words[i] as t, get(words, i + {0}) as u, item_raw[i] as x, get(raw, i + {0}) as y)"
     whole = f"transform(shifts, s -> transform(sequence(0, size(item_words) - 1), i -> {slot.format('s')}))"
     alone = f"flatten(transform(laid, w -> transform(sequence(w.i, w.i + span - 1), i -> {slot.format('w.shift')})))"
-    both = both.withColumn("layouts", F.concat(F.expr(whole), F.array(F.expr(alone))))
+    both = both.withColumn("whole", F.expr(whole)).withColumn("alone", F.expr(alone))
+
+    def same(s: Column) -> Column:
+        """Whether the words at a place are equal but for case and the punctuation around them."""
+        return F.coalesce(F.lower(plain(s["x"])) == F.lower(plain(s["y"])), F.lit(False))
 
     def kind(layout: Column) -> Column:
         slots = F.filter(layout, lambda s: (s["t"] == s["u"]) & is_slot(s["t"]))
         slots = F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"].alias("t"), plain(s["x"]).alias("x"), plain(s["y"]).alias("y"))))
         return F.struct(
-            (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["x"]))))).alias("consistent"), F.forall(slots, lambda s: s["x"] == s["y"]).alias("exact")
+            (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["t"], s["x"]))))).alias("consistent"), F.forall(slots, lambda s: s["x"] == s["y"]).alias("equal")
         )
 
-    both = both.withColumn("kinds", F.filter(F.transform("layouts", kind), lambda k: k["consistent"]))
-    both = both.filter(F.size("kinds") > 0).select(
+    both = both.withColumn("exact", F.exists("whole", lambda layout: F.forall(layout, same)))
+    kinds = F.filter(F.transform(F.concat("whole", F.array("alone")), kind), lambda k: k["consistent"])
+    both = both.withColumn("kinds", F.when(F.col("strict"), F.array().cast("array<struct<consistent: boolean, equal: boolean>>")).otherwise(kinds))
+    both = both.filter(F.col("exact") | (F.size("kinds") > 0)).select(
         F.col("id").alias(key),
         F.col("item").alias(item),
         F.col("n_windows").cast("bigint").alias("n_windows"),
         (F.col("n_windows") / F.col("total")).alias("coverage"),
-        F.when(F.exists("kinds", lambda k: k["exact"]), "exact").otherwise("reparameterised").alias("kind"),
+        F.when(F.col("exact"), "exact").when(F.exists("kinds", lambda k: k["equal"]), "partial").otherwise("reparameterised").alias("kind"),
     )
     return both.groupBy(key, item).agg(F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"), F.min("kind").alias("kind"))
