@@ -5,16 +5,18 @@ class from the start.  Two sets whose Jaccard similarity reaches the threshold
 share a shingle among the first few of each in any common order, so classes are
 grouped by those shingles, hashes in order, shingles that very many documents
 hold last.  Inside a group the shingles of each class, hashed into cells and
-counted, are a point; the points lie in an R-tree whose nodes bound the overlap
-with a query by the summed minima of its coordinates and the node's largest.
-Pairs whose bound reaches the overlap that the threshold asks for are verified
-on the sets themselves.
-
-Pairs come in rounds: a class is first compared with the smallest such partner
-of its groups alone, linked classes melt into components, and only groups that
-still hold several components go on, with a few more partners a class, and at
-last with all partners that are left.  So no link between components can be
-missed, while a group of thousands of near copies costs about one pair a class.
+counted up to three in planes of bits, are a point; the points lie in an R-tree
+whose nodes bound the overlap with a query by the summed minima of its
+coordinates and the node's largest, and what the planes don't count.  Groups of a
+leaf's size have all their pairs bounded at once.  Pairs whose bound reaches the
+overlap that the threshold asks for are verified on the sets themselves.
+
+Pairs come in rounds: a class is first compared with its smallest such partner
+alone, linked classes melt into components, and only groups that still hold
+several components go on, with a few more partners a class, each of another
+component, and at last with all partners that are left.  In the first rounds a
+class meets but a part of one of its larger groups.  So no link between components
+can be missed, while a group of thousands of near copies costs about one pair a class.
 
 Hashes have 64 bits, for shingles and for sets; equal hashes count as equal.
 
@@ -42,8 +44,8 @@ FREQUENT, FREQUENT_MOST = 64, 1_000_000
 BUCKET, BROADCAST_ROWS, TILE = 1 << 19, 1_000_000, 512
 #: Members of groups that one bucket of the search holds, about.
 SEARCHED = 50_000
-#: Partners of a class that a bucket names in the first rounds; then all that are left.
-LIMITS = (1, 16)
+#: Partners of a class that a bucket names in the first rounds, then all that are left; rounds in which a class meets one part of one of its larger groups alone.
+LIMITS, SPARE = (1, 1, 4), 2
 #: Classes beside one centre in one task of the verification.
 BESIDE = 256
 #: Bytes of blobs that a task gathers before it hands them on.
@@ -376,7 +378,7 @@ def tree_pairs(points: Points, index: np.ndarray, asked: np.ndarray, comp: np.nd
 
 
 def _search(limit: int):
-    """For the tiles of a bucket, rows (a, b): at most `limit` partners b of each class a that has any, the smallest first (0: all pairs)."""
+    """For the tiles of a bucket, rows (a, b): at most `limit` partners b of each class a, one of a component, the smallest first (0: all pairs)."""
 
     def run(key, rows):
         import pyarrow as pa
@@ -403,6 +405,11 @@ def _search(limit: int):
         a, b = pairs // max(1, len(k)), pairs % max(1, len(k))
         if limit:
             a, b = np.concatenate([a, b]), np.concatenate([b, a])
+            order = np.lexsort((b, comp[b], a))
+            a, b = a[order], b[order]
+            first = np.ones(len(a), bool)  # of a component
+            first[1:] = (a[1:] != a[:-1]) | (comp[b[1:]] != comp[b[:-1]])
+            a, b = a[first], b[first]
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -489,26 +496,34 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     judged, edges = spark.createDataFrame([], "a bigint, b bigint"), None
     for turn, limit in enumerate((*LIMITS, 0)):
-        parts = F.ceil(F.count("*") / TILE).cast("int")
+        spare, parts = turn < SPARE, F.ceil(F.count("*") / TILE).cast("int")
         mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("first"), parts.alias("parts"), F.count("*").alias("many"))
         mixed = scratch.write(mixed.filter("low < high").select("sign", "first", "parts", "many"), "mixed")
-        buckets = max(tasks, mixed.agg(F.sum("many")).first()[0] or 0) // SEARCHED + tasks
-        tiles = member.join(mixed, "sign").withColumn("part", F.pmod(F.hash("sign", "key"), "parts"))
-        # in the first round a class meets its own part of each group alone; other groups part it otherwise
-        others = F.expr("sequence(0, parts - 1)") if turn else F.array("part")
-        tiles = tiles.withColumn("other", F.explode(others)).select(
+        buckets = (mixed.agg(F.sum("many")).first()[0] or 0) // SEARCHED + tasks
+        placed = scratch.write(member.join(mixed, "sign"), "placed")
+        large = mixed.filter(F.col("many") > RTree.FAN)
+        tiles, others = placed, F.expr("sequence(0, parts - 1)")
+        if spare:  # near copies share most of their groups, so one of the larger and a part of it will do at first
+            own = placed.filter(F.col("many") > RTree.FAN).groupBy("key").agg(F.min("sign").alias("sign"))
+            tiles = placed.filter(F.col("many") <= RTree.FAN).unionByName(placed.join(own, ["key", "sign"]).select(placed.columns))
+            others = F.array("part")
+        # at first other groups part a class otherwise; then alike, so that pairs of large groups meet in the same few tiles
+        part = F.hash("sign", "key") if spare else F.hash("key")
+        tiles = tiles.withColumn("part", F.pmod(part, "parts")).withColumn("other", F.explode(others)).select(
             "sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "component", "many", "first"
         )
-        # small groups with the same first class, which are as many as its first shingles at most, meet in one bucket, so that a pair of theirs comes once
-        bucket = F.when(F.col("many") <= RTree.FAN, F.hash("first")).otherwise(F.hash("sign", "p", "q"))
+        # small groups with the same first class, which are as many as its first shingles at most, meet in one bucket,
+        # large ones in a few for each pair of parts, so that a pair of theirs comes once or a few times
+        bucket = F.when(F.col("many") <= RTree.FAN, F.hash("first")).otherwise(F.hash("first", "p", "q", F.pmod(F.hash("sign"), F.lit(4))))
         tiles = scratch.write(tiles.select(F.pmod(bucket, F.lit(buckets)).alias("bucket"), "sign", "p", "q", "side", "key", "component"), "tiles")
+        scratch.drop(placed)
         placed = tiles.select("bucket", "key", "component").distinct().join(points, "key")
         none = [F.lit(None).cast(kind).alias(c) for c, kind in (("sign", "bigint"), ("p", "int"), ("q", "int"), ("side", "int"))]
         placed = placed.select("bucket", *none, "key", "component", "n", "cells")
         rows = tiles.select("bucket", "sign", "p", "q", "side", "key", F.lit(None).cast("bigint").alias("component"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("cells"))
         named = scratch.write(rows.unionByName(placed).groupBy("bucket").applyInArrow(_search(limit), "a bigint, b bigint").distinct(), "named")
         scratch.drop(tiles)
-        pairs = named if turn else named.groupBy("a").agg(F.min("b").alias("b"))
+        pairs = named.groupBy("a").agg(F.min("b").alias("b")) if spare else named
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = scratch.write(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
@@ -518,14 +533,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             scratch.drop(sets)
             edges = linked if edges is None else edges.unionByName(linked)
             judged = judged.unionByName(pairs)
-        if not limit or (not turn and named.isEmpty() and mixed.filter("parts > 1").isEmpty()):
+        if not limit or (named.isEmpty() and (not spare or large.isEmpty())):
             break
-        # who has had no partner at all has none later, but for groups in several parts, of which the first round saw no whole
+        # who has had no partner at all has none later, but for large groups, of which the first rounds see no whole
         touched = scratch.write(named.select(F.col("a").alias("key")).distinct(), "touched")
         stays = member.join(touched, "key", "left_semi")
-        if not turn:
-            big = mixed.filter("parts > 1").select("sign")
-            stays = stays.unionByName(member.join(touched, "key", "left_anti").join(big, "sign", "left_semi"))
+        if spare:
+            stays = stays.unionByName(member.join(touched, "key", "left_anti").join(large, "sign", "left_semi"))
         if edges is not None:
             parts = scratch.write(components(scratch, edges), "components")
             stays = stays.drop("component").join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
