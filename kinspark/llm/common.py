@@ -104,11 +104,14 @@ class Scratch:
             self._delete(path)
 
     def release(self) -> None:
-        """Let Spark remove the shuffle files of plans that are finished."""
+        """Let Spark remove the shuffle files of plans that are finished, before the next ones come."""
         import gc
+        import time
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the driver's JVM lets go of a plan some time after Python has
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -37,6 +37,8 @@ THRESHOLD, BITS, WINDOW, CERTAINTY = 0.95, 60, 128, 0.999
 TILE = 512
 #: Classes left from which on passes go on; widest window; classes on each side of a tile of those left.
 FEW, WIDEST, SIDE = 16_384, 4096, 1024
+#: Classes of one range of a pass at most, where there are more than the session's tasks hold.
+RANGE = 100_000
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
@@ -175,7 +177,7 @@ def linked(scratch: Scratch, own: DataFrame, threshold: float) -> DataFrame:
     passes, kept = passes_for(n, threshold), 1 - math.acos(threshold) / math.pi
     while True:
         keyed = scratch.write(left.mapInArrow(_keys(passes, turn), f"id bigint, vector {kind}, keys array<bigint>"), "keyed")
-        met, parts = None, max(1, min(tasks, n // (16 * window)))
+        met, parts = None, max(1, min(max(tasks, n // RANGE), n // (16 * window)))  # grows with the table
         for p in range(passes):
             part = keyed.select("id", "vector", F.element_at("keys", p + 1).alias("k")).repartitionByRange(parts, "k", "id").sortWithinPartitions("k", "id")
             found = part.mapInArrow(_window(threshold, window), "a bigint, b bigint, bits int")
