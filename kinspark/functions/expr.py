@@ -154,3 +154,24 @@ def lcg_offsets(numel, blocks, block_len, seed) -> Column:
     span = numel - block_len
     drawn = F.transform(F.slice(states, 2, blocks), lambda s: F.pmod(F.expr("0L") + F.floor(s / (1 << LCG_SHIFT)).cast("bigint"), F.greatest(span, F.lit(1))).cast("bigint"))
     return F.when(span <= 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_sort(F.array_distinct(drawn)))
+
+
+def float32(c) -> Column:
+    """A number as single precision keeps it."""
+    return _col(c).cast("float").cast("double")
+
+
+def day(c) -> Column:
+    return F.date_format(_col(c), "yyyy-MM-dd")
+
+
+def stamp(c) -> Column:
+    """A time of the session's zone, taken for UTC, to the second."""
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def html_escape(c) -> Column:
+    out = _col(c)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out

@@ -36,18 +36,20 @@ GATE_COLUMNS = ["n_layers", "hidden", "inventory", "dtype", "seed", "family"]
 
 def gates(pairs: DataFrame, model: DataFrame) -> DataFrame:
     """Pairs with what decides which signals may be compared."""
-    a = model.select(F.col("model_id").alias("suspect"), *[F.col(c).alias(f"s_{c}") for c in GATE_COLUMNS])
-    b = model.select(F.col("model_id").alias("candidate"), *[F.col(c).alias(f"c_{c}") for c in GATE_COLUMNS])
+    columns = [*GATE_COLUMNS, *(["shape"] if "shape" in model.columns else [])]
+    a = model.select(F.col("model_id").alias("suspect"), *[F.col(c).alias(f"s_{c}") for c in columns])
+    b = model.select(F.col("model_id").alias("candidate"), *[F.col(c).alias(f"c_{c}") for c in columns])
     return gate_columns(pairs.join(a, "suspect").join(b, "candidate"))
 
 
 def gate_columns(both: DataFrame) -> DataFrame:
-    """The gates of pairs that carry s_.. and c_.. columns of both models."""
+    """The gates of pairs that carry s_.. and c_.. columns of both models; the whole shape counts where models have one, else the width."""
+    form = "shape" if "s_shape" in both.columns else "hidden"
     return both.select(
         "suspect",
         "candidate",
         (F.col("s_n_layers") == F.col("c_n_layers")).alias("layers_match"),
-        (F.col("s_hidden") == F.col("c_hidden")).alias("shape_compatible"),
+        F.col(f"s_{form}").eqNullSafe(F.col(f"c_{form}")).alias("shape_compatible"),
         ((F.col("s_inventory") != "") & (F.col("s_inventory") == F.col("c_inventory"))).alias("inventory_match"),
         (F.col("s_seed") == F.col("c_seed")).alias("seed_match"),
         F.col("s_dtype").alias("suspect_dtype"),

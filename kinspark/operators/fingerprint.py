@@ -72,19 +72,20 @@ def singular_values(m: np.ndarray, k: int = TOP_K, seed: int = 0, oversample: in
     return np.linalg.svd(basis.T @ m, compute_uv=False)[:k].astype(np.float64)
 
 
-def spectra(matrices: DataFrame, columns: int, stride: int = STRIDE, k: int = TOP_K) -> DataFrame:
-    """(model, role, layer, svals): of every stride-th layer's values as rows of `columns`; a ragged end is left out."""
+def spectra(matrices: DataFrame, columns: int | None = None, stride: int = STRIDE, k: int = TOP_K) -> DataFrame:
+    """(model, role, layer, svals): of every stride-th layer's values as rows of `columns`, or of the row's own; a ragged end is left out."""
     kinds = ", ".join(f"`{c}` {matrices.schema[c].dataType.simpleString()}" for c in KEYS)
+    width = F.lit(columns) if columns else F.col("columns")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for v in batch.column(3):
+            for v, c in zip(batch.column(3), batch.column(4).to_pylist()):
                 x = np.array(v.values.to_numpy(zero_copy_only=False), np.float64)
-                rows = len(x) // columns
-                out.append(singular_values(x[: rows * columns].reshape(rows, columns), k).tolist() if rows else [])
+                rows = len(x) // c if c else 0
+                out.append(singular_values(x[: rows * c].reshape(rows, c), k).tolist() if rows else [])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.list_(pa.float64()))], names=[*KEYS, "svals"])
 
-    return matrices.filter(F.col("layer") % stride == 0).select(*KEYS, "values").mapInArrow(run, f"{kinds}, svals array<double>")
+    return matrices.filter(F.col("layer") % stride == 0).select(*KEYS, "values", width.cast("int").alias("columns")).mapInArrow(run, f"{kinds}, svals array<double>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,27 @@ def beside(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def quantile(df: DataFrame, score: str, q: float) -> float | None:
+    """The exact quantile, linear between neighbours, found among the distinct scores and their running counts; None without scores."""
+    rows = distinct_scores(df, score, n=F.count("*"))
+    total = rows.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    at = q * (total - 1)
+    low, high = math.floor(at), math.ceil(at)
+    a, b = rows.agg(*[F.min(F.when(F.col("below_n") + F.col("n") > k, F.col("s"))) for k in (low, high)]).first()
+    return a if low == high else (high - at) * a + (at - low) * b
+
+
 def tpr_at_fpr(df: DataFrame, score: str, label: str, fpr: float = 0.01) -> DataFrame:
     """Share of positives strictly above the negatives' (1 - fpr) quantile; threshold 1 without negatives.
 
-    The threshold is one row, joined to all of the positives.
+    The threshold is one number.
     """
-    cut = df.filter(F.col(label) == 0).agg(F.coalesce(F.percentile(score, F.lit(1 - fpr)), F.lit(1.0)).alias("threshold"))
-    hits = df.filter(F.col(label) == 1).withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one")
-    return hits.agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("tpr"), F.max("threshold").alias("threshold"))
+    cut = quantile(df.filter(F.col(label) == 0), score, 1 - fpr)
+    cut = 1.0 if cut is None else float(cut)
+    hits = df.filter(F.col(label) == 1)
+    return hits.agg(F.avg((F.col(score) > cut).cast("double")).alias("tpr"), F.max(F.lit(cut)).alias("threshold"))
 
 
 def calibration_bins(df: DataFrame, score: str, label: str, bins: int = 5, least: int = 5) -> DataFrame:

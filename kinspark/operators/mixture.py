@@ -98,6 +98,74 @@ def fit_any(samples: DataFrame, group: list[str], y: str, x: str) -> DataFrame:
     return gram.groupBy(*group).applyInArrow(solve, f"{kinds}, alphas array<double>, rss double, rank int")
 
 
+def decomposition(samples: DataFrame, group: list[str], y: str, x: str) -> DataFrame:
+    """(group.., n, alphas, rss, rank, recon_cos, best, gain, identical, parallel) of blends of two candidates or more, x an array.
+
+    Sums of products of the deltas to the last candidate, of the candidates and
+    of y are one grouped aggregate; (2k + 1) squared numbers a group reach Python.
+    """
+    last = F.element_at(x, -1)
+    deltas = F.expr(f"transform(slice({x}, 1, size({x}) - 1), v -> v - element_at({x}, -1))")
+    every = samples.select(*group, F.size(x).alias("_k"), F.concat(deltas, F.array(F.col(y) - last), F.col(x), F.array(F.col(y))).alias("_all"))
+    cells = every.select(*group, "_k", "_all", F.posexplode("_all").alias("i", "a"))
+    cells = cells.select(*group, "_k", "i", "a", F.posexplode("_all").alias("j", "b")).filter("i <= j")
+    sums = cells.groupBy(*group, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"), F.count("*").alias("n"), F.max("_k").alias("k"))
+    keys = group or ["_one"]
+    sums = sums if group else sums.withColumn("_one", F.lit(0))
+    kinds = "".join(f"`{g}` {sums.schema[g].dataType.simpleString()}, " for g in keys)
+
+    def solve(key, rows):
+        import pyarrow as pa
+
+        i, j, v = (rows.column(c).to_numpy() for c in ("i", "j", "v"))
+        k, n = rows.column("k")[0].as_py(), rows.column("n")[0].as_py()
+        m = np.zeros((2 * k + 1, 2 * k + 1))
+        m[i, j] = m[j, i] = v
+        g, r, tt = m[: k - 1, : k - 1], m[: k - 1, k - 1], m[k - 1, k - 1]
+        size = np.sqrt(np.maximum(np.diag(g), 0))
+        scale = np.where(size > 0, size, 1)  # of the columns, so that short deltas are solved as well as long ones
+        b, _, rank, _ = np.linalg.lstsq(g / np.outer(scale, scale), r / scale, rcond=1e-12)
+        b = b / scale
+        alphas = np.append(b, 1 - b.sum())
+        raw, cross, yy = m[k : 2 * k, k : 2 * k], m[k : 2 * k, 2 * k], m[2 * k, 2 * k]
+        rss = max(0.0, float(tt - 2 * b @ r + b @ g @ b))
+        # the residual of one candidate alone; the last one's is t itself
+        single = np.append([max(0.0, float(tt - 2 * r[c] + g[c, c])) for c in range(k - 1)], tt)
+        norm = np.sqrt(max(0.0, float(alphas @ raw @ alphas))) * np.sqrt(yy)
+        best = int(single.argmin())
+        live = size >= IDENTICAL * max(size.max(), 1e-30)
+        pairs = [(c, d) for c in range(k - 1) for d in range(c + 1, k - 1) if live[c] and live[d] and abs(g[c, d]) > PARALLEL * size[c] * size[d]]
+        out = {name: pa.array([value.as_py()], value.type) for name, value in zip(keys, key)}
+        out |= {
+            "n": pa.array([n]), "alphas": pa.array([alphas.tolist()]), "rss": pa.array([rss]), "rank": pa.array([int(rank)], pa.int32()),
+            "recon_cos": pa.array([float(alphas @ cross / norm) if norm > 0 else 0.0]), "best": pa.array([best], pa.int32()),
+            "gain": pa.array([1 - rss / single[best] if single[best] > 1e-30 else 0.0]), "identical": pa.array([int((~live).sum())], pa.int32()), "parallel": pa.array([len(pairs)], pa.int32()),
+        }
+        return pa.table(out)
+
+    out = sums.groupBy(*keys).applyInArrow(solve, f"{kinds}n bigint, alphas array<double>, rss double, rank int, recon_cos double, best int, gain double, identical int, parallel int")
+    return out if group else out.drop("_one")
+
+
+def decomposed(whole: DataFrame, by_role: DataFrame, by_layer: DataFrame, check: DataFrame, k: int, base: bool) -> DataFrame:
+    """One row: the pooled fit with the fits by role and layer, the cross-check, summary and notes; a base is the last candidate."""
+    parents = k - 1 if base else k
+    roles = by_role.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "alphas")))).alias("by_role"))
+    spread = F.greatest(*[F.stddev_pop(F.col("alphas")[i]) for i in range(k)])
+    layers = by_layer.agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", "alphas"))), lambda s: s["alphas"]).alias("by_layer"), F.when(F.count("*") >= 2, spread).alias("spread"))
+    one = check.agg(F.first("alphas").alias("check"))
+    out = whole.crossJoin(F.broadcast(roles)).crossJoin(F.broadcast(layers)).crossJoin(F.broadcast(one))  # a row each
+    for i in range(k):
+        out = out.withColumn(f"a_{i}", F.col("alphas")[i])
+    names = [f"a_{i}" for i in range(parents)]
+    out = out.withColumn("summary", summary(names)).withColumn("diverges", F.greatest(*[F.abs(F.col("check")[i] - F.col(f"a_{i}")) for i in range(k)], F.lit(None).cast("double")))
+    told = F.concat(
+        notes([f"a_{i}" for i in range(k)], "spread", "diverges"),
+        F.filter(F.array(F.when(F.col("identical") > 0, "interchangeable candidates"), F.when(F.col("parallel") > 0, "nearly parallel candidates"), F.when(F.col("rank") < k - 1, "rank deficient")), F.isnotnull),
+    )
+    return out.withColumn("notes", told).select("alphas", "rss", "rank", "recon_cos", "best", "gain", "by_role", "by_layer", "check", "summary", "notes")
+
+
 def summary(alphas: list[str]) -> Column:
     """The class of a blend from its parents' weights (a base's isn't among them), recon_cos and gain."""
     material = sum((F.when(F.col(a) >= MATERIAL, 1).otherwise(0) for a in alphas[1:]), F.when(F.col(alphas[0]) >= MATERIAL, 1).otherwise(0))

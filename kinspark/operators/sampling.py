@@ -32,13 +32,18 @@ def seeded_sample(plan: DataFrame, elements: DataFrame, keys: list[str]) -> Data
     return elements.join(p, keys).filter(hit).select(*keys, "block_no", "pos", "value")
 
 
-def coalesce_ranges(ranges: DataFrame, group: list[str], start: str = "byte_start", end: str = "byte_end", gap: int = GAP) -> DataFrame:
-    """Ranges merged where the next starts at most `gap` after the furthest end so far: gaps and islands."""
+def islands(ranges: DataFrame, group: list[str], start: str = "byte_start", end: str = "byte_end", gap: int = GAP) -> DataFrame:
+    """Ranges with the number of their island: a range that starts at most `gap` after the furthest end so far belongs to the one before."""
     order = Window.partitionBy(*group).orderBy(start, end)
     furthest = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = ranges.withColumn("_new", F.when(F.col(start) - furthest <= gap, 0).otherwise(1))
-    island = fresh.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("_island")
+    return fresh.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def coalesce_ranges(ranges: DataFrame, group: list[str], start: str = "byte_start", end: str = "byte_end", gap: int = GAP) -> DataFrame:
+    """Ranges merged by their islands."""
+    found = islands(ranges, group, start, end, gap)
+    return found.groupBy(*group, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("island")
 
 
 def range_lookup(wanted: DataFrame, blobs: DataFrame, group: list[str], start: str = "byte_start", end: str = "byte_end") -> DataFrame:

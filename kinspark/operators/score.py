@@ -27,6 +27,12 @@ def probability(neutral: dict | None = None, weights: dict | None = None, interc
     return expr.sigmoid(z)
 
 
+def neutral_means(background: DataFrame, least: int = 5) -> dict:
+    """The default neutral values, with the mean over a background's pairs where `least` of them or more have the feature."""
+    row = background.agg(*[F.struct(F.count(f).alias("n"), F.avg(f).alias("mean")).alias(f) for f in FEATURES]).first()
+    return NEUTRAL | {f: row[f]["mean"] for f in FEATURES if row[f]["n"] >= least}
+
+
 def ruled_out() -> Column:
     """Why a candidate can't be scored, in the order of the gates; null if it can."""
     none = F.coalesce(*[F.col(f) for f in FEATURES]).isNull()

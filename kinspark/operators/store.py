@@ -86,10 +86,17 @@ class ReferenceStore:
         return True
 
     def export(self, path: str) -> None:
-        self.models().write.parquet(path)
+        """An archive: Parquet rows, and beside them a manifest (JSON lines) of what it holds."""
+        rows = self.models()
+        rows.write.parquet(f"{path}/rows")
+        held = rows.agg(F.count("*").alias("n"), F.count_distinct("model_id").alias("n_models"), F.lit(self.version()).alias("version"))
+        held.withColumn("columns", F.lit(",".join(rows.columns))).write.json(f"{path}/manifest")
 
     def import_archive(self, path: str, overwrite: bool = False) -> tuple[int, int]:
-        archive, now = self.spark.read.parquet(path), self.models()
+        archive, now = self.spark.read.parquet(f"{path}/rows"), self.models()
+        held = self.spark.read.json(f"{path}/manifest").first()
+        if archive.count() != held["n"]:
+            raise ValueError(f"{path}: the manifest names {held['n']} rows")
         if now is None:
             n = archive.count()
             self._publish(archive)

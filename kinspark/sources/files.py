@@ -37,6 +37,24 @@ def list_files(path: str) -> list[str]:
     return sorted(scheme + f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File)
 
 
+def read_text(path: str) -> str | None:
+    """A small file as text; None if there is none."""
+    try:
+        f = RangeFile(path)
+    except FileNotFoundError:
+        return None
+    return f.read(0, f.size).decode("utf-8", "replace")
+
+
+def read_json(path: str) -> dict:
+    """A JSON file, gzipped or not, whatever its name says."""
+    import gzip
+
+    f = RangeFile(path)
+    raw = f.read(0, f.size)
+    return json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+
+
 #: Element types of the header format: numpy code and bytes (fixed values); 8-bit floats stay raw bytes.
 DTYPES = {
     "F64": ("<f8", 8), "F32": ("<f4", 4), "F16": ("<f2", 2), "BF16": ("<u2", 2), "I64": ("<i8", 8), "I32": ("<i4", 4), "I16": ("<i2", 2), "I8": ("<i1", 1),
@@ -46,7 +64,14 @@ MAX_HEADER = 100 * 1024 * 1024
 #: Block types of the quantised format by number: name, elements, bytes (fixed values).
 BLOCK_TYPES = {
     0: ("F32", 1, 4), 1: ("F16", 1, 2), 2: ("Q4_0", 32, 18), 3: ("Q4_1", 32, 20), 6: ("Q5_0", 32, 22), 7: ("Q5_1", 32, 24), 8: ("Q8_0", 32, 34),
-    12: ("Q4_K", 256, 144), 14: ("Q6_K", 256, 210), 24: ("I8", 1, 1), 25: ("I16", 1, 2), 26: ("I32", 1, 4), 27: ("I64", 1, 8), 28: ("F64", 1, 8), 30: ("BF16", 1, 2),
+    10: ("Q2_K", 256, 84), 11: ("Q3_K", 256, 110), 12: ("Q4_K", 256, 144), 13: ("Q5_K", 256, 176), 14: ("Q6_K", 256, 210), 20: ("IQ4_NL", 32, 18), 23: ("IQ4_XS", 256, 136), 24: ("I8", 1, 1), 25: ("I16", 1, 2), 26: ("I32", 1, 4), 27: ("I64", 1, 8), 28: ("F64", 1, 8), 30: ("BF16", 1, 2),
+}
+#: The sixteen levels of the non-linear four-bit types, and the file types by number (fixed values).
+LEVELS = [-127, -104, -83, -65, -49, -35, -22, -10, 1, 13, 25, 38, 53, 69, 89, 113]
+FILE_TYPES = {
+    0: "f32", 1: "f16", 2: "q4_0", 3: "q4_1", 7: "q8_0", 8: "q5_0", 9: "q5_1", 10: "q2_k", 11: "q3_k_s", 12: "q3_k_m", 13: "q3_k_l", 14: "q4_k_s", 15: "q4_k_m",
+    16: "q5_k_s", 17: "q5_k_m", 18: "q6_k", 19: "iq2_xxs", 20: "iq2_xs", 21: "q2_k_s", 22: "iq3_xs", 23: "iq3_xxs", 24: "iq1_s", 25: "iq4_nl", 26: "iq3_s",
+    27: "iq3_m", 28: "iq2_s", 29: "iq2_m", 30: "iq4_xs", 31: "iq1_m", 32: "bf16",
 }
 SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?", 10: "<Q", 11: "<q", 12: "<d"}
 
@@ -147,11 +172,37 @@ def gguf_header(path: str) -> tuple[dict, list[dict]]:
         if numel % elems:
             raise ValueError(f"{path}: {name} isn't made of whole blocks")
         part = name.split(".")[2] if name.startswith("blk.") else ""
-        permuted = heads.get(part, 0) if arch == "llama" and name.endswith(".weight") else 0
+        permuted, rows = heads.get(part, 0) if arch == "llama" else 0, shape[-1]
+        permuted = permuted[0] if isinstance(permuted, list) and permuted else permuted or 0
+        if permuted and (rows % permuted or rows // permuted % 2):
+            permuted = 0
         out.append(row(path, name, dtype, shape[::-1], start + offset, start + offset + numel // elems * size, elems, size, int(permuted or 0)))
     return meta, out
 
 
+def gguf_config(path: str) -> dict:
+    """What a quantised file says of its model, by the names that configurations use; missing values are left out."""
+    meta, tensors = gguf_header(path)
+    arch = meta.get("general.architecture", "")
+
+    def number(key: str) -> int:
+        value = meta.get(f"{arch}.{key}", 0)
+        value = (value[0] if value else 0) if isinstance(value, list) else value
+        return int(value) if isinstance(value, (int, float)) else 0
+
+    tokens = meta.get("tokenizer.ggml.tokens", [])
+    vocabulary = number("vocab_size") or (tokens["length"] if isinstance(tokens, dict) else len(tokens))
+    embedding = next((t["shape"][0] for t in tensors if t["tensor"] == "token_embd.weight"), 0)
+    matrices = [t["dtype"].lower() for t in tensors if len(t["shape"]) == 2]
+    label = FILE_TYPES.get(meta.get("general.file_type")) or (max(dict.fromkeys(matrices), key=matrices.count) if matrices else "")
+    found = {
+        "hidden_size": number("embedding_length"), "num_hidden_layers": number("block_count"), "num_attention_heads": number("attention.head_count"),
+        "num_key_value_heads": number("attention.head_count_kv") or number("attention.head_count"), "intermediate_size": number("feed_forward_length"),
+        "vocab_size": vocabulary or embedding, "torch_dtype": label,
+    }
+    return {k: v for k, v in found.items() if v}
+
+
 def decode(raw: bytes, dtype: str):
     """Whole blocks as a flat float array (64-bit floats stay so)."""
     import numpy as np
@@ -181,12 +232,34 @@ def decode(raw: bytes, dtype: str):
         fifth = np.unpackbits(b[:, at : at + 4], axis=1, bitorder="little")
         q = (nibbles(b[:, at + 4 :]) | (fifth << 4)).astype(np.float32)
         return (half(0) * (q - 16)).ravel() if dtype == "Q5_0" else (half(0) * q + half(2)).ravel()
-    if dtype == "Q4_K":
+    if dtype == "IQ4_NL":
+        return (half(0) * np.array(LEVELS, np.float32)[nibbles(b[:, 2:])]).ravel()
+    if dtype == "IQ4_XS":
+        high = b[:, 2:4].copy().view("<u2").astype(np.int32)
+        low = np.stack([b[:, 4:8] & 15, b[:, 4:8] >> 4], axis=2).reshape(-1, 8).astype(np.int32)
+        scale = (low | (((high >> (2 * np.arange(8))) & 3) << 4)) - 32
+        q = b[:, 8:].reshape(-1, 8, 16)
+        return ((half(0) * scale)[:, :, None] * np.array(LEVELS, np.float32)[np.concatenate([q & 15, q >> 4], axis=2)]).ravel()
+    shifts = 2 * np.arange(4, dtype=np.uint8)[:, None]
+    if dtype == "Q2_K":
+        s = b[:, :16]
+        q = ((b[:, 16:80].reshape(-1, 2, 1, 32) >> shifts) & 3).reshape(-1, 16, 16).astype(np.float32)
+        return ((half(80) * (s & 15))[:, :, None] * q - (half(82) * (s >> 4))[:, :, None]).ravel()
+    if dtype == "Q3_K":
+        s, top = b[:, 96:104], b[:, 104:108]
+        scale = np.concatenate([s & 15, s >> 4], axis=1) | np.concatenate([((top >> n) & 3) << 4 for n in (0, 2, 4, 6)], axis=1)
+        absent = 1 - ((b[:, :32].reshape(-1, 1, 1, 32) >> np.arange(8, dtype=np.uint8).reshape(2, 4, 1)) & 1).astype(np.float32)
+        q = ((b[:, 32:96].reshape(-1, 2, 1, 32) >> shifts) & 3).astype(np.float32) - 4 * absent
+        return ((half(108) * (scale.astype(np.float32) - 32))[:, :, None] * q.reshape(-1, 16, 16)).ravel()
+    if dtype in ("Q4_K", "Q5_K"):
         s = b[:, 4:16]
         scale = np.concatenate([s[:, :4] & 63, (s[:, 8:] & 15) | ((s[:, :4] >> 6) << 4)], axis=1)
         least = np.concatenate([s[:, 4:8] & 63, (s[:, 8:] >> 4) | ((s[:, 4:8] >> 6) << 4)], axis=1)
-        q = b[:, 16:].reshape(-1, 4, 32)
-        q = np.stack([q & 15, q >> 4], axis=2).reshape(-1, 8, 32).astype(np.float32)
+        q = b[:, -128:].reshape(-1, 4, 32)
+        q = np.stack([q & 15, q >> 4], axis=2).reshape(-1, 8, 32)
+        if dtype == "Q5_K":
+            q = q | (((b[:, 16:48].reshape(-1, 1, 32) >> np.arange(8, dtype=np.uint8)[:, None]) & 1) << 4)
+        q = q.astype(np.float32)
         return ((half(0) * scale)[:, :, None] * q - (half(2) * least)[:, :, None]).ravel()
     if dtype == "Q6_K":
         low, high = b[:, :128].reshape(-1, 2, 2, 32), b[:, 128:192].reshape(-1, 2, 1, 32)

@@ -7,9 +7,12 @@ pushed into the reader, so that only the ranges asked for are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from ..functions.names import QUANT_TAGS
 from . import files
 
 CATALOG = "shard string, tensor string, dtype string, shape array<bigint>, numel bigint, byte_start bigint, byte_end bigint, block_elems int, block_bytes int, perm_heads int"
@@ -19,20 +22,36 @@ BLOCK_LEN, PARTITION_BYTES = 16384, 32 << 20
 
 
 def shards(path: str) -> list[str]:
-    """The weight files under a path: safetensors (without adapters) before the quantised format; an index's list wins."""
+    """The weight files of a checkpoint: those an index lists, else the safetensors files of the folder itself (without
+    adapters), else the best quantisation of a quantised model, with all its parts."""
     import json
 
     found = files.list_files(path)
-    index = [f for f in found if f.endswith(".safetensors.index.json")]
+    top = [f for f in found if f == path or "/" not in f[len(path.rstrip("/")) + 1 :]] or found
+    index = [f for f in top if f.endswith(".safetensors.index.json")]
     if index:
         f = files.RangeFile(index[0])
         listed = set(json.loads(f.read(0, f.size))["weight_map"].values())
-        return sorted(x for x in found if x.rsplit("/", 1)[-1] in listed)
-    tensors = [f for f in found if f.endswith(".safetensors") and not f.rsplit("/", 1)[-1].startswith("adapter")]
-    quant = [f for f in found if f.lower().endswith(".gguf") and not f.rsplit("/", 1)[-1].lower().startswith("mmproj")]
-    if not tensors and not quant:
+        return sorted(x for x in found if x[len(index[0].rsplit("/", 1)[0]) + 1 :] in listed)
+    tensors = [f for f in top if f.endswith(".safetensors") and not f.rsplit("/", 1)[-1].startswith("adapter")]
+    if tensors:
+        return tensors
+    models: dict[str, list[str]] = {}
+    for f in found:
+        name = f.rsplit("/", 1)[-1].lower()
+        if name.endswith(".gguf") and not name.startswith("mmproj"):
+            models.setdefault(re.sub(r"-\d{5}-of-\d{5}\.gguf$", ".gguf", f, flags=re.I), []).append(f)
+    if not models:
         raise FileNotFoundError(f"{path}: no weights")
-    return tensors or quant
+
+    def rank(name: str) -> int:
+        return next((i for i, tag in enumerate(QUANT_TAGS) if tag in name.rsplit("/", 1)[-1].lower()), len(QUANT_TAGS))
+
+    return sorted(models[min(models, key=lambda m: (rank(m), m))])
+
+
+def stored_config(shard: str) -> dict:
+    return files.gguf_config(shard)
 
 
 def catalog(shard: str) -> list[dict]:

@@ -13,6 +13,7 @@ CHECKED = [
     "verdict", "score_candidates", "features", "background_range", "neutral_override", "auroc", "midrank", "calibration_gap", "export_pairs", "pair_except", "atlas_edges",
     "affine_fit_3", "merge_notes", "mix_yaml", "canonicalize", "coverage", "quant_pick", "claims", "consistency", "upsert", "new_candidates", "node_order",
     "sigma_curve", "vector_sample", "fnv1a_seed", "lcg_offsets", "seeded_sample", "coalesce_ranges", "range_lookup", "block_span",
+    "roles_by_layer", "float32", "day_of", "latest_scan", "html_escape", "byte_totals", "merge_cards", "report_rows",
 ]
 
 
