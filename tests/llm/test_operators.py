@@ -295,7 +295,7 @@ def test_decontamination_tries_every_place(spark):
     docs = [(1, item), (2, other), (3, other + " . " + item), (4, "it was " + longer), (5, other + " . " + other), (6, "well " + item.replace("12", "13"))]
     bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
     got = {r["doc_id"]: r["kind"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
-    assert got == {1: "exact", 3: "exact", 4: "exact", 6: "reparameterised"}
+    assert got == {1: "exact", 3: "exact", 4: "partial", 6: "reparameterised"}  # a word put in leaves a copy that isn't word for word
 
 
 def test_urls(spark):
