@@ -62,6 +62,19 @@ def trim() -> None:
         trimmed(0)
 
 
+#: Bytes of an executor's heap up to which plans leave it tidied.
+SMALL_HEAP = 4 << 30
+
+
+def small_heap(spark: SparkSession) -> bool:
+    """Whether executors are processes of their own with a heap of SMALL_HEAP or less."""
+    size = spark.conf.get("spark.executor.memory", "1g").strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(size[-1:], 0)
+    number = size[:-1] if unit else size
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    return not local and number.isdigit() and int(number) << (unit or 20) <= SMALL_HEAP
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where that is unset one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -104,10 +117,17 @@ class Scratch:
             self._delete(path)
 
     def release(self) -> None:
-        """Let Spark remove the shuffle files of plans that are finished, before the next ones come."""
+        """Let Spark remove the shuffle files of plans that are finished, and small executors give heap back, before the next plans come.
+
+        Executors share their memory with Python workers; one of SMALL_HEAP or
+        less keeps what earlier plans needed where the workers then lack it.
+        """
         import gc
         import time
 
+        tasks = self.spark.sparkContext.defaultParallelism
+        if small_heap(self.spark) and tasks <= 64:
+            self.spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
         for _ in range(2):  # the driver's JVM lets go of a plan some time after Python has
             gc.collect()
             self.spark._jvm.System.gc()

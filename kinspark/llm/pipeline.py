@@ -24,7 +24,9 @@ BROADCAST_ROWS = 1_000_000
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Documents whose doc_id isn't among a few ids."""
-    ids = Scratch(docs.sparkSession, name).write(ids.select("doc_id").distinct(), "drop")
+    scratch = Scratch(docs.sparkSession, name)
+    ids = scratch.write(ids.select("doc_id").distinct(), "drop")
+    scratch.release()
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
