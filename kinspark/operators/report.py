@@ -47,6 +47,6 @@ def polyline(values: Column, width: int = 300, height: int = 80) -> Column:
 
 
 def report_row(model: Column, verdict: Column, best: Column, p: Column) -> Column:
-    """A row of an HTML table; labels are escaped, missing values a dash."""
-    cells = [expr.html_escape(model), expr.html_escape(verdict), F.coalesce(expr.html_escape(best), F.lit("-")), F.coalesce(F.format_string("%.4f", p), F.lit("-"))]
+    """A row of an HTML table, probabilities in whole per cent (cut, so that none reads as certain); labels are escaped, missing values a dash."""
+    cells = [expr.html_escape(model), expr.html_escape(verdict), expr.html_escape(best), F.concat(F.floor(p * 100).cast("int").cast("string"), F.lit(" %"))]
     return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(c, F.lit("-")), F.lit("</td>")) for c in cells], F.lit("</tr>"))

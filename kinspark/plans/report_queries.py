@@ -60,7 +60,7 @@ def merge_cards(spark, sf_dir):
     return cards.select("target", F.array_join(F.transform("parents", lambda s: s["id"]), " > ").alias("parents"), F.array_max(F.transform("parents", lambda s: s["alpha"])).alias("heaviest"))
 
 
-@query("report_rows", f"WITH {PAIRS} SELECT suspect, '<tr><td>model &amp; ' || suspect || '</td><td>' || verdict || '</td><td>' || coalesce(best::VARCHAR, '-') || '</td><td>' || coalesce(printf('%.4f', round(p, 6)), '-') || '</td></tr>' AS html FROM verdicts")
+@query("report_rows", f"WITH {PAIRS} SELECT suspect, '<tr><td>model &amp; ' || suspect || '</td><td>' || verdict || '</td><td>' || coalesce(best::VARCHAR, '-') || '</td><td>' || coalesce(floor(round(p, 6) * 100)::INT || ' %', '-') || '</td></tr>' AS html FROM verdicts")
 def report_rows(spark, sf_dir):
     label = F.concat(F.lit("model & "), F.col("suspect").cast("string"))
     return _verdicts(spark, sf_dir).select("suspect", report.report_row(label, F.col("verdict"), F.col("best").cast("string"), F.round("p", 6)).alias("html"))
