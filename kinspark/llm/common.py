@@ -95,8 +95,9 @@ class Scratch:
         atexit.register(self.close)
 
     def close(self) -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            self._delete(self.root)
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None:  # the session may have ended before
+                self._delete(self.root)
 
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
