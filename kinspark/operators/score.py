@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from .compare import FEATURES
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the repository
+
 #: Weights, intercept and neutral values of the default model; thresholds of the verdict (fixed values).
 WEIGHTS = {"sigma_r": 5.5, "vector_cos": 1.5, "pcs_cos": 4.5, "spectra_r": 1.0}
 INTERCEPT = -6.0
@@ -110,17 +116,79 @@ def exit_code(verdict: Column, status: Column) -> Column:
 def fit(features: DataFrame, label: str, epochs: int = 4000, rate: float = 0.5, l2: float = 1e-3, most: int = 200_000) -> DataFrame:
     """Weights (feature, weight) of a logistic model with weights of 0 or more, by full-batch descent from zero.
 
-    The rows are labelled pairs, four numbers each; more than `most` are refused
-    rather than gathered.
+    The rows are labelled pairs, four numbers each; distinct ones are counted
+    and held in blocks.  Up to `most` of them are gathered; more stay where they
+    are, and each epoch adds up the gradients of the blocks, a row from each task.
     """
-    rows = features.select(*[F.coalesce(F.col(f), F.lit(NEUTRAL[f])).cast("double").alias(f) for f in FEATURES], F.col(label).cast("double").alias("y")).orderBy(*FEATURES, "y").limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} labelled pairs")
-    x = np.stack([rows.column(f).to_numpy() for f in FEATURES], 1) if rows.num_rows else np.zeros((0, 4))
-    y, w, b, n = rows.column("y").to_numpy(), np.zeros(len(FEATURES)), 0.0, max(1, rows.num_rows)
-    for _ in range(epochs if rows.num_rows else 0):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w = np.maximum(0.0, w - rate * (x.T @ error / n + l2 * w))
-        b -= rate * float(error.mean())
+    rows = features.select(*[F.coalesce(F.col(f), F.lit(NEUTRAL[f])).cast("double").alias(f) for f in FEATURES], F.col(label).cast("double").alias("y"))
+    rows = rows.groupBy(*FEATURES, "y").agg(F.count("*").alias("n")).sortWithinPartitions(*FEATURES, "y")
+    blocks = rows.mapInArrow(_blocker(FEATURES), "x binary, y binary, n binary, many bigint, total bigint").persist()
+    many, total = (v or 0 for v in blocks.agg(F.sum("many"), F.sum("total")).first())
+    if many <= most:
+        held = blocks.select("x", "y", "n").toArrow().to_pydict()
+        x, y, n = (np.frombuffer(b"".join(held[c])) for c in "xyn")
+        x = x.reshape(-1, len(FEATURES))
+        order = np.lexsort((y, *x.T[::-1]))
+        x, y, n = x[order], y[order], n[order]
+    parts = blocks.select("x", "y", "n").coalesce(-(-many // (4 * BLOCK)) or 1)  # tasks of a few blocks
+    w, b = np.zeros(len(FEATURES)), 0.0
+    for _ in range(epochs if total else 0):
+        if many <= most:
+            g = slopes(x, y, n, w, b)
+        else:
+            g = np.array([math.fsum(c) for c in zip(*[r["g"] for r in parts.mapInArrow(_gradients(w, b), "g array<double>").collect()])])
+        w = np.maximum(0.0, w - rate * (g[:-1] / total + l2 * w))
+        b -= rate * float(g[-1]) / total
+    blocks.unpersist()
     spark = features.sparkSession
     return spark.createDataFrame([*zip(FEATURES, map(float, w)), ("intercept", float(b))], "feature string, weight double")
+
+
+def slopes(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """The summed gradient of the logistic loss by the weights and, last, the intercept; each row stands for n."""
+    error = n * (1 / (1 + np.exp(-(x @ w + b))) - y)
+    return np.append(x.T @ error, error.sum())
+
+
+#: Rows of a block, 48 bytes each.
+BLOCK = 1 << 16
+
+
+def _blocker(features: list[str], size: int = BLOCK):
+    """Rows in blocks of `size` or a few more, each block's columns as bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def block():
+            table = pa.Table.from_batches(held)
+            columns = [np.stack([table.column(f).to_numpy() for f in features], 1), *(table.column(c).to_numpy().astype(float) for c in ("y", "n"))]
+            arrays = [pa.array([c.tobytes()], pa.binary()) for c in columns]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([table.num_rows]), pa.array([int(columns[2].sum())])], names=["x", "y", "n", "many", "total"])
+
+        held, many = [], 0
+        for batch in batches:
+            held.append(batch)
+            many += batch.num_rows
+            if many >= size:
+                yield block()
+                held, many = [], 0
+        if many:
+            yield block()
+
+    return run
+
+
+def _gradients(w: np.ndarray, b: float):
+    """The sum of the blocks' gradients."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        g = np.zeros(len(w) + 1)
+        for batch in batches:
+            for x, y, n in zip(*batch.to_pydict().values()):
+                g += slopes(np.frombuffer(x).reshape(-1, len(w)), np.frombuffer(y), np.frombuffer(n), w, b)
+        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    return run

@@ -100,6 +100,22 @@ def test_metrics_with_ties(spark):
     assert metrics.tpr_at_fpr(df.filter("y = 1"), "s", "y").first()["threshold"] == 1.0
 
 
+def test_calibrator_fits_more_pairs_than_are_gathered(spark):
+    """The same descent over gathered pairs, over pairs that stay where they are, and in numpy; repeats count."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.uniform(-1, 1, (300, 4)), rng.integers(1, 4, 300), axis=0)
+    y = (x @ [3.0, 1.0, -2.0, 0.5] + rng.normal(0, 0.5, len(x)) > 0).astype(float)
+    rows = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], ", ".join(f"{f} double" for f in score.FEATURES) + ", y int").repartition(3)
+    w, b = np.zeros(4), 0.0
+    for _ in range(20):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = np.maximum(0.0, w - 0.5 * (x.T @ error / len(x) + 1e-3 * w)), b - 0.5 * error.mean()
+    for most in (200_000, 100):
+        got = {r["feature"]: r["weight"] for r in score.fit(rows, "y", epochs=20, most=most).collect()}
+        assert list(got.values()) == pytest.approx([*w, b], abs=1e-9) and list(got) == [*score.FEATURES, "intercept"]
+    assert [r["weight"] for r in score.fit(rows.filter("false"), "y", epochs=20, most=0).collect()] == [0.0] * 5
+
+
 def test_mixture_recovers_weights(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
