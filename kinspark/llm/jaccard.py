@@ -13,10 +13,12 @@ overlap that the threshold asks for are verified on the sets themselves.
 
 Pairs come in rounds: a class is first compared with its smallest such partner
 alone, linked classes melt into components, and only groups that still hold
-several components go on, with a few more partners a class, each of another
-component, and at last with all partners that are left.  In the first rounds a
-class meets but a part of one of its larger groups.  So no link between components
-can be missed, while a group of thousands of near copies costs about one pair a class.
+several components go on.  In the rounds that follow a class is compared with the
+partner of another component whose bound is best, as long as half of those that
+ask are linked by it, and at last with all partners that are left.  In all rounds
+but the last a class meets but a part of one of its larger groups, another each
+time.  So no link between components can be missed, while a group of thousands of
+near copies costs a few pairs a class.
 
 Hashes have 64 bits, for shingles and for sets; equal hashes count as equal.
 
@@ -44,8 +46,8 @@ FREQUENT, FREQUENT_MOST = 64, 1_000_000
 BUCKET, BROADCAST_ROWS, TILE = 1 << 19, 1_000_000, 512
 #: Members of groups that one bucket of the search holds, about.
 SEARCHED = 50_000
-#: Partners of a class that a bucket names in the first rounds, then all that are left; rounds in which a class meets one part of one of its larger groups alone.
-LIMITS, SPARE = (1, 1, 4), 2
+#: Rounds at least, before the last, in which a class meets one part of one of its larger groups and a bucket names one partner of it.
+SPARE = 2
 #: Classes beside one centre in one task of the verification.
 BESIDE = 256
 #: Bytes of blobs that a task gathers before it hands them on.
@@ -300,7 +302,11 @@ class Points:
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the bound leaves it possible that pairs of classes link."""
-        n, out, cells = self.n, np.zeros(len(a), bool), np.minimum(self.cells[a], self.cells[b])
+        return (ABOVE + BELOW) * self.overlap(a, b) >= ABOVE * (self.n[a] + self.n[b])
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most that pairs of classes can share; -1 where their sizes alone rule a link out."""
+        n, out, cells = self.n, np.full(len(a), -1), np.minimum(self.cells[a], self.cells[b])
         sized = np.flatnonzero(BELOW * np.minimum(n[a], n[b]) >= ABOVE * np.maximum(n[a], n[b]))
         for c in np.unique(cells[sized]).tolist():
             at, words, rest = self.levels[c]
@@ -309,8 +315,7 @@ class Points:
             for i in range(0, len(some), step):
                 pick = some[i : i + step]
                 x, y = at[a[pick]], at[b[pick]]
-                overlap = np.bitwise_count(words[x] & words[y]).sum(axis=1, dtype=np.int64) + np.minimum(rest[x], rest[y])
-                out[pick] = (ABOVE + BELOW) * overlap >= ABOVE * (n[a[pick]] + n[b[pick]])
+                out[pick] = np.bitwise_count(words[x] & words[y]).sum(axis=1, dtype=np.int64) + np.minimum(rest[x], rest[y])
         return out
 
 
@@ -377,8 +382,11 @@ def tree_pairs(points: Points, index: np.ndarray, asked: np.ndarray, comp: np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _search(limit: int):
-    """For the tiles of a bucket, rows (a, b): at most `limit` partners b of each class a, one of a component, the smallest first (0: all pairs)."""
+def _search(one: bool, near: bool):
+    """For the tiles of a bucket, rows (a, b, share): all pairs, or `one` partner b of each class a.
+
+    That is the smallest, or with `near` the one whose bound is the largest share of both sets.
+    """
 
     def run(key, rows):
         import pyarrow as pa
@@ -403,18 +411,16 @@ def _search(limit: int):
         a, b = (np.concatenate(v) for v in zip(*found)) if found else (k[:0], k[:0])
         pairs = np.unique(a * max(1, len(k)) + b)
         a, b = pairs // max(1, len(k)), pairs % max(1, len(k))
-        if limit:
+        share = np.zeros(len(a))
+        if one:
             a, b = np.concatenate([a, b]), np.concatenate([b, a])
-            order = np.lexsort((b, comp[b], a))
-            a, b = a[order], b[order]
-            first = np.ones(len(a), bool)  # of a component
-            first[1:] = (a[1:] != a[:-1]) | (comp[b[1:]] != comp[b[:-1]])
-            a, b = a[first], b[first]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            a, b = a[rank < limit], b[rank < limit]
-        return pa.table({"a": k[a], "b": k[b]})
+            share = points.overlap(a, b) / (n[a] + n[b]) if near else np.zeros(len(a))
+            order = np.lexsort((b, -share, a))
+            a, b, share = a[order], b[order], share[order]
+            first = np.ones(len(a), bool)
+            first[1:] = a[1:] != a[:-1]
+            a, b, share = a[first], b[first], share[first]
+        return pa.table({"a": k[a], "b": k[b], "share": share})
 
     return run
 
@@ -495,8 +501,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     scratch.release()
 
     judged, edges = spark.createDataFrame([], "a bigint, b bigint"), None
-    for turn, limit in enumerate((*LIMITS, 0)):
-        spare, parts = turn < SPARE, F.ceil(F.count("*") / TILE).cast("int")
+    turn, spare = 0, True
+    while True:
+        parts = F.ceil(F.count("*") / TILE).cast("int")
         mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("first"), parts.alias("parts"), F.count("*").alias("many"))
         mixed = scratch.write(mixed.filter("low < high").select("sign", "first", "parts", "many"), "mixed")
         buckets = (mixed.agg(F.sum("many")).first()[0] or 0) // SEARCHED + tasks
@@ -504,11 +511,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         large = mixed.filter(F.col("many") > RTree.FAN)
         tiles, others = placed, F.expr("sequence(0, parts - 1)")
         if spare:  # near copies share most of their groups, so one of the larger and a part of it will do at first
-            own = placed.filter(F.col("many") > RTree.FAN).groupBy("key").agg(F.min("sign").alias("sign"))
+            own = placed.filter(F.col("many") > RTree.FAN).groupBy("key").agg(F.min_by("sign", F.xxhash64("sign", F.lit(turn))).alias("sign"))  # another in each round
             tiles = placed.filter(F.col("many") <= RTree.FAN).unionByName(placed.join(own, ["key", "sign"]).select(placed.columns))
             others = F.array("part")
         # at first other groups part a class otherwise; then alike, so that pairs of large groups meet in the same few tiles
-        part = F.hash("sign", "key") if spare else F.hash("key")
+        part = F.hash("sign", "key", F.lit(turn)) if spare else F.hash("key")
         tiles = tiles.withColumn("part", F.pmod(part, "parts")).withColumn("other", F.explode(others)).select(
             "sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "component", "many", "first"
         )
@@ -521,31 +528,33 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         none = [F.lit(None).cast(kind).alias(c) for c, kind in (("sign", "bigint"), ("p", "int"), ("q", "int"), ("side", "int"))]
         placed = placed.select("bucket", *none, "key", "component", "n", "cells")
         rows = tiles.select("bucket", "sign", "p", "q", "side", "key", F.lit(None).cast("bigint").alias("component"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("cells"))
-        named = scratch.write(rows.unionByName(placed).groupBy("bucket").applyInArrow(_search(limit), "a bigint, b bigint").distinct(), "named")
+        named = scratch.write(rows.unionByName(placed).groupBy("bucket").applyInArrow(_search(spare, turn > 0), "a bigint, b bigint, share double").distinct(), "named")
         scratch.drop(tiles)
-        pairs = named.groupBy("a").agg(F.min("b").alias("b")) if spare else named
+        pairs = named.groupBy("a").agg(F.min_by("b", F.struct(-F.col("share"), "b")).alias("b")) if spare else named
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = scratch.write(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
+        links = 0
         if not pairs.isEmpty():
             keys = scratch.write(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
             sets = sets_of(scratch, texts, classes, keys)
             linked = verified(scratch, pairs, sets)
             scratch.drop(sets)
             edges = linked if edges is None else edges.unionByName(linked)
-            judged = judged.unionByName(pairs)
-        if not limit or (named.isEmpty() and (not spare or large.isEmpty())):
+            judged, links = judged.unionByName(pairs), linked.count()
+        if not spare or (named.isEmpty() and large.isEmpty()):
             break
         # who has had no partner at all has none later, but for large groups, of which the first rounds see no whole
         touched = scratch.write(named.select(F.col("a").alias("key")).distinct(), "touched")
         stays = member.join(touched, "key", "left_semi")
-        if spare:
-            stays = stays.unionByName(member.join(touched, "key", "left_anti").join(large, "sign", "left_semi"))
+        stays = stays.unionByName(member.join(touched, "key", "left_anti").join(large, "sign", "left_semi"))
         if edges is not None:
             parts = scratch.write(components(scratch, edges), "components")
             stays = stays.drop("component").join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         before, member = member, scratch.write(stays.select("sign", "key", "component"), "member")
         scratch.drop(before)
         scratch.release()
+        turn += 1
+        spare = turn < SPARE or 0 < touched.count() <= 2 * links  # as long as half of the classes that ask find a link
     out = sizes.select("id", "n", "key").join(classes.select("key", "rep"), "key", "left")
     if edges is not None:
         parts = components(scratch, edges)

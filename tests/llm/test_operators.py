@@ -79,6 +79,29 @@ def test_jaccard_tree_keeps_every_pair():
     assert (np.unpackbits(jaccard.folded(wide), axis=2, bitorder="little").sum(axis=1)[0] == np.minimum(counts, 3)).all()
 
 
+def test_jaccard_names_few_pairs_of_near_copies(spark, monkeypatch):
+    """Of a group of near copies, some of them linked only through others, few pairs are verified and no link is lost."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    verified, write = [], jaccard.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "pairs":
+            verified.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "write", counted)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_jaccard(rows)
+    assert sum(verified) <= 5 * len(rows)
+
+
 def test_jaccard_null_ids_and_long_texts(spark):
     rng = random.Random(5)
     a, b, c = (text(rng, 60) for _ in range(3))
