@@ -62,7 +62,7 @@ def trim() -> None:
         trimmed(0)
 
 
-#: Bytes of an executor's heap up to which plans leave it tidied.
+#: Bytes of a heap, an executor's or the driver's, up to which plans leave it tidied.
 SMALL_HEAP = 4 << 30
 
 
@@ -75,6 +75,37 @@ def small_heap(spark: SparkSession) -> bool:
     return not local and number.isdigit() and int(number) << (unit or 20) <= SMALL_HEAP
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Collect the garbage of the driver's JVM; one of SMALL_HEAP or less gives what it then doesn't use back to the system.
+
+    Its heap would else stay as large as any plan has made it, and its native
+    allocators, of which each of hundreds of threads has a part, too.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    def manage(bean: str, *call: str) -> None:
+        with contextlib.suppress(Exception):  # JVMs differ in what they can do
+            kinds = [jvm.java.lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+            invoke = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+            name = jvm.javax.management.ObjectName(f"com.sun.management:type={bean}")
+            given = [name, call[0], array(jvm.Object, *call[1:]), array(jvm.String, *["java.lang.String"] * (len(call) - 1))]
+            invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.Object, *given))
+
+    lean = jvm.Runtime.getRuntime().maxMemory() <= SMALL_HEAP
+    if lean:
+        manage("HotSpotDiagnostic", "setVMOption", "MinHeapFreeRatio", "10")
+        manage("HotSpotDiagnostic", "setVMOption", "MaxHeapFreeRatio", "30")
+    jvm.System.gc()
+    if lean:
+        manage("DiagnosticCommand", "systemTrimNativeHeap")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where that is unset one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -123,15 +154,14 @@ class Scratch:
         Executors share their memory with Python workers; one of SMALL_HEAP or
         less keeps what earlier plans needed where the workers then lack it.
         """
-        import gc
         import time
 
         tasks = self.spark.sparkContext.defaultParallelism
         if small_heap(self.spark) and tasks <= 64:
             self.spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
         for _ in range(2):  # the driver's JVM lets go of a plan some time after Python has
-            gc.collect()
-            self.spark._jvm.System.gc()
+            trim()
+            trim_driver(self.spark)
             time.sleep(0.2)
 
 
@@ -215,16 +245,28 @@ class Rolling:
         return mix64(raw ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+#: Edges up to which components are found on the driver, 16 bytes each.
+FEW_EDGES = 100_000
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a, b): rows (id, component), component the smallest id.
 
-    Alternating large-star and small-star rounds over DataFrames.  Every round
-    is a written table; no node's neighbours are ever gathered in one row, and
-    only a checksum comes to the driver.  Self links and repeats are harmless;
-    no edges give no rows.
+    FEW_EDGES or less are gathered, as dozens of plans for them would only cost
+    the driver time and memory.  More go through alternating large-star and
+    small-star rounds over DataFrames.  Every round is a written table; no
+    node's neighbours are ever gathered in one row, and only a checksum comes to
+    the driver.  Self links and repeats are harmless; no edges give no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     e, last = scratch.write(e, "edges"), None
+    if e.count() <= FEW_EDGES:
+        import pyarrow as pa
+
+        few = e.toArrow()
+        scratch.drop(e)
+        found = few_components(*(few.column(c).to_numpy() for c in "uv"))
+        return scratch.spark.createDataFrame(pa.table([pa.array(x, few.schema.field("u").type) for x in found], ["id", "component"]))
     while True:
         sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sign) == last:
@@ -249,6 +291,18 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def few_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, in order, and the smallest node that each reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while (low[a] != low[b]).any():
+        x, y = low[a], low[b]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    return ids, ids[low]
+
+
 class HashIndex:
     """Positions of uint64 keys in an open-addressing table, for whole arrays at a time."""
 

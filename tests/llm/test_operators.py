@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinspark.llm import bpe, decontaminate, html, jaccard, language, quality, suffix, toxicity, urls, vectors
+from kinspark.llm import bpe, common, decontaminate, html, jaccard, language, quality, suffix, toxicity, urls, vectors
 from kinspark.llm.queries import URL_RULES
 
 WORDS = "the of and lorem ipsum dolor sit amet consectetur elit sed do eiusmod tempor incididunt ut labore magna aliqua enim minim veniam quis nostrud".split()
@@ -79,6 +79,25 @@ def test_jaccard_tree_keeps_every_pair():
     assert (np.unpackbits(jaccard.folded(wide), axis=2, bitorder="little").sum(axis=1)[0] == np.minimum(counts, 3)).all()
 
 
+def test_components_of_few_edges_take_one_table(spark, monkeypatch):
+    """Few edges are one table, not several a round; many go the long way to the same components."""
+    rng = random.Random(2)
+    pairs = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (7, None)]
+    top = {x: x for p in pairs for x in p if x is not None and p[0] != p[1] and None not in p}
+    while any(top[a] != top[b] for a, b in pairs if b is not None and a != b):
+        for a, b in pairs:
+            if b is not None and a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for few in (common.FEW_EDGES, 0):
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        scratch = common.Scratch(spark, "test")
+        got = common.components(scratch, edges)
+        assert {r["id"]: r["component"] for r in got.collect()} == top and got.count() == len(top)
+        assert len(scratch.made) == 1 or not few
+    assert common.components(scratch, edges.filter("false")).collect() == []
+
+
 def test_jaccard_names_few_pairs_of_near_copies(spark, monkeypatch):
     """Of a group of near copies, some of them linked only through others, few pairs are verified and no link is lost."""
     rng = random.Random(5)
