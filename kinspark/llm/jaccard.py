@@ -18,7 +18,9 @@ partner of another component whose bound is best, as long as half of those that
 ask are linked by it, and at last with all partners that are left.  In all rounds
 but the last a class meets but a part of one of its larger groups, another each
 time.  So no link between components can be missed, while a group of thousands of
-near copies costs a few pairs a class.
+near copies costs a few pairs a class.  In the last round large groups of much the
+same classes are one crowd, in which each pair meets once, and of a crowd only
+classes outside its largest component travel to several tasks.
 
 Hashes have 64 bits, for shingles and for sets; equal hashes count as equal.
 
@@ -464,6 +466,51 @@ def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scratch.write(beside.groupBy("b", "part").applyInArrow(_verify, "a bigint, b bigint"), "linked")
 
 
+#: Columns of the rows that tiles hold.
+TILES = ["sign", "p", "q", "side", "key", "component", "many", "first"]
+
+
+def crowds(scratch: Scratch, wide: DataFrame) -> DataFrame:
+    """Groups (sign, key, component, first) with those that share classes laid together, where the whole has fewer pairs than they have."""
+    low = wide.join(wide.groupBy("key").agg(F.min("first").alias("low")), "key").groupBy("sign")
+    low = scratch.write(low.agg(F.min("low").alias("crowd"), F.count("*").cast("double").alias("many")), "crowds")
+    pairs = low.groupBy("crowd").agg(F.sum(F.col("many") * F.col("many")).alias("pairs"))
+    whole = scratch.write(wide.join(small(low.select("sign", "crowd")), "sign").select(F.col("crowd").alias("sign"), "key", "component", F.col("crowd").alias("first")).distinct(), "whole")
+    sums = whole.groupBy("sign").agg(F.count("*").cast("double").alias("many")).join(pairs.withColumnRenamed("crowd", "sign"), "sign")
+    fewer = small(scratch.write(sums.filter("many * many < pairs").select("sign"), "fewer"))
+    alone = small(scratch.write(low.join(fewer.withColumnRenamed("sign", "crowd"), "crowd", "left_anti").select("sign"), "alone"))
+    return whole.join(fewer, "sign", "left_semi").unionByName(wide.join(alone, "sign", "left_semi").select(whole.columns))
+
+
+def crowd_tiles(scratch: Scratch, wide: DataFrame, buckets: int) -> DataFrame:
+    """The tiles (p, q, side) of large groups in which all pairs of different components meet.
+
+    The classes of a group's largest component come once, each in one of its
+    parts, which all others of the group visit; the others, in parts of their
+    own, meet by pairs of parts.  Parts are about TILE classes, but no more than
+    keep the buckets busy, so a class comes as often as there are parts to keep
+    busy, not as its group is large; only from SEARCHED classes a part they are
+    more, for the memory of a task, and over SEARCHED visitors all are others.
+    """
+    held = scratch.write(crowds(scratch, wide), "held")
+    sums = held.groupBy("sign", "component").agg(F.count("*").alias("n")).groupBy("sign")
+    sums = sums.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("many"))
+    sums = sums.withColumn("main", F.expr(f"if(many - most <= {SEARCHED}, main, null)")).withColumn("most", F.expr("if(main is null, 0, most)")).withColumn("rest", F.expr("many - most"))
+    busy = 2 * int(buckets**0.5) + 1
+
+    def parts(of: str, alone: str):
+        return F.expr(f"cast(least({alone}, greatest({busy}, ceil({of} / {SEARCHED}))) as int)")
+
+    sums = sums.withColumn("mains", parts("most", f"ceil(most * least(rest, {TILE}) / {TILE**2})")).withColumn("rests", parts("rest", f"ceil(rest / {TILE})"))
+    held = held.join(small(scratch.write(sums.select("sign", "main", "many", "mains", "rests"), "mains")), "sign").withColumn("hash", F.hash("key"))
+    once = held.filter("component = main").withColumn("p", F.expr("-1 - pmod(hash, mains)"))
+    once = once.withColumn("q", F.col("p")).withColumn("side", F.lit(1))
+    others = held.filter("not component <=> main").withColumn("part", F.expr("pmod(hash, rests)")).withColumn("other", F.explode(F.expr("sequence(-mains, rests - 1)")))
+    others = others.withColumn("p", F.expr("if(other < 0, other, least(part, other))")).withColumn("q", F.expr("if(other < 0, other, greatest(part, other))"))
+    others = others.withColumn("side", F.expr("cast(other >= 0 and part > other as int)"))
+    return once.select(TILES).unionByName(others.select(TILES))
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_shingles, component_id): the size of each set and the smallest key its links reach."""
     spark = docs.sparkSession
@@ -506,19 +553,18 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         parts = F.ceil(F.count("*") / TILE).cast("int")
         mixed = member.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("first"), parts.alias("parts"), F.count("*").alias("many"))
         mixed = scratch.write(mixed.filter("low < high").select("sign", "first", "parts", "many"), "mixed")
-        buckets = (mixed.agg(F.sum("many")).first()[0] or 0) // SEARCHED + tasks
+        many, wide = mixed.agg(F.sum("many"), F.count_if(F.col("parts") > 1)).first()
+        buckets = (many or 0) // SEARCHED + tasks
         placed = scratch.write(member.join(mixed, "sign"), "placed")
         large = mixed.filter(F.col("many") > RTree.FAN)
-        tiles, others = placed, F.expr("sequence(0, parts - 1)")
+        tiles = placed
         if spare:  # near copies share most of their groups, so one of the larger and a part of it will do at first
             own = placed.filter(F.col("many") > RTree.FAN).groupBy("key").agg(F.min_by("sign", F.xxhash64("sign", F.lit(turn))).alias("sign"))  # another in each round
             tiles = placed.filter(F.col("many") <= RTree.FAN).unionByName(placed.join(own, ["key", "sign"]).select(placed.columns))
-            others = F.array("part")
-        # at first other groups part a class otherwise; then alike, so that pairs of large groups meet in the same few tiles
-        part = F.hash("sign", "key", F.lit(turn)) if spare else F.hash("key")
-        tiles = tiles.withColumn("part", F.pmod(part, "parts")).withColumn("other", F.explode(others)).select(
-            "sign", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "component", "many", "first"
-        )
+        # at first other groups part a class otherwise; at last alike, so that pairs of large groups meet in the same few tiles
+        tiles = tiles.withColumn("p", F.pmod(F.hash("sign", "key", F.lit(turn)), "parts")).withColumn("q", F.col("p")).withColumn("side", F.lit(0))
+        if not spare and wide:
+            tiles = tiles.filter("parts = 1").select(TILES).unionByName(crowd_tiles(scratch, placed.filter("parts > 1"), buckets))
         # small groups with the same first class, which are as many as its first shingles at most, meet in one bucket,
         # large ones in a few for each pair of parts, so that a pair of theirs comes once or a few times
         bucket = F.when(F.col("many") <= RTree.FAN, F.hash("first")).otherwise(F.hash("first", "p", "q", F.pmod(F.hash("sign"), F.lit(4))))

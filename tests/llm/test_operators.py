@@ -121,6 +121,54 @@ def test_jaccard_names_few_pairs_of_near_copies(spark, monkeypatch):
     assert sum(verified) <= 5 * len(rows)
 
 
+def test_jaccard_crowds_come_few_times(spark, monkeypatch):
+    """The last round's tiles of groups of near copies don't grow with their squares, and no link is lost."""
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randint(1, 8)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    tiles, write = [], jaccard.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "tiles":
+            tiles.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    monkeypatch.setattr(jaccard.Scratch, "write", counted)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_jaccard(rows)
+    assert tiles[-1] <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("searched", [jaccard.SEARCHED, 30])
+def test_jaccard_crowd_tiles_hold_every_pair(spark, monkeypatch, searched):
+    """Classes of one group and of different components share a tile, whether groups become a crowd, stay alone, or have no main component."""
+    rng = random.Random(7)
+    groups = {-1 - s: rng.sample(range(100), 70) for s in range(8)} | {-20: range(200, 300), -21: [*range(300, 340), 5]} | {-30 - s: [1000, *range(1001 + 50 * s, 1051 + 50 * s)] for s in range(9)}
+    groups[-40] = [*range(2000, 2400)]
+    comp = {k: min(k, 2000) if k < 2390 else k for k in range(2000, 2400)} | {k: k % 100 % 60 for k in range(300)}
+    rows = [(s, k, comp.get(k, k), min(ks)) for s, ks in groups.items() for k in ks]
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "SEARCHED", searched)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if searched == 30 else jaccard.BROADCAST_ROWS)
+    found = jaccard.crowd_tiles(common.Scratch(spark, "test"), spark.createDataFrame(rows, "sign bigint, key bigint, component bigint, first bigint"), 4).collect()
+    tiles, met = {}, set()
+    for r in found:
+        tiles.setdefault((r["sign"], r["p"], r["q"]), ([], []))[r["side"]].append(r["key"])
+    for a, b in tiles.values():
+        met |= {(min(x, y), max(x, y)) for x in (b or a) for y in a}
+    for ks in groups.values():
+        assert all((min(x, y), max(x, y)) in met for x in ks for y in ks if x != y and comp.get(x, x) != comp.get(y, y))
+    signs = {r["sign"] for r in found}
+    assert not signs & {-1 - s for s in range(8)} and signs >= {-30 - s for s in range(9)}
+    assert searched == 30 or sum(r["sign"] in (-40, 2000) for r in found) <= 450
+
+
 def test_jaccard_null_ids_and_long_texts(spark):
     rng = random.Random(5)
     a, b, c = (text(rng, 60) for _ in range(3))
