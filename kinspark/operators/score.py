@@ -7,7 +7,7 @@ import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -116,79 +116,125 @@ def exit_code(verdict: Column, status: Column) -> Column:
 def fit(features: DataFrame, label: str, epochs: int = 4000, rate: float = 0.5, l2: float = 1e-3, most: int = 200_000) -> DataFrame:
     """Weights (feature, weight) of a logistic model with weights of 0 or more, by full-batch descent from zero.
 
-    The rows are labelled pairs, four numbers each; distinct ones are counted
-    and held in blocks.  Up to `most` of them are gathered; more stay where they
-    are, and each epoch adds up the gradients of the blocks, a row from each task.
+    The rows are labelled pairs, four numbers each; distinct ones are counted.
+    Up to `most` of them are gathered.  More are dealt out evenly to the tasks of
+    one job, as many as can run at once, which tell each other their gradients
+    in each epoch.  (Where executors come and go, no such job can run; there a
+    single task has all rows.)
     """
-    rows = features.select(*[F.coalesce(F.col(f), F.lit(NEUTRAL[f])).cast("double").alias(f) for f in FEATURES], F.col(label).cast("double").alias("y"))
-    rows = rows.groupBy(*FEATURES, "y").agg(F.count("*").alias("n")).sortWithinPartitions(*FEATURES, "y")
-    blocks = rows.mapInArrow(_blocker(FEATURES), "x binary, y binary, n binary, many bigint, total bigint").persist()
-    many, total = (v or 0 for v in blocks.agg(F.sum("many"), F.sum("total")).first())
+    rows = features.select(*[F.coalesce(F.col(f), F.lit(NEUTRAL[f])).cast("double").alias(f) for f in FEATURES], F.lit(1.0).alias("one"), F.col(label).cast("double").alias("y"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("n")).persist()
+    many, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    spark = features.sparkSession
     if many <= most:
-        held = blocks.select("x", "y", "n").toArrow().to_pydict()
-        x, y, n = (np.frombuffer(b"".join(held[c])) for c in "xyn")
-        x = x.reshape(-1, len(FEATURES))
-        order = np.lexsort((y, *x.T[::-1]))
-        x, y, n = x[order], y[order], n[order]
-    parts = blocks.select("x", "y", "n").coalesce(-(-many // (4 * BLOCK)) or 1)  # tasks of a few blocks
-    w, b = np.zeros(len(FEATURES)), 0.0
+        held = rows.toArrow()
+        held = np.stack([held.column(c).to_numpy() for c in held.column_names], 1)
+        w = descend(held[np.lexsort(held.T[::-1])], total, epochs, rate, l2)
+    else:
+        together = spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") != "true"
+        parts = rows.repartition(slots(spark) if together else 1)  # not by key: the rows are distinct
+        w = parts.mapInArrow(_descent(total, epochs, rate, l2, together), "w array<double>", barrier=together).collect()[0]["w"]
+    rows.unpersist()
+    return spark.createDataFrame([*zip([*FEATURES, "intercept"], map(float, w))], "feature string, weight double")
+
+
+def slots(spark: SparkSession) -> int:
+    """Tasks that can run at once."""
+    sc = spark.sparkContext._jsc.sc()
+    return sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())
+
+
+def descend(rows: np.ndarray, total: float, epochs: int, rate: float, l2: float, added=None) -> np.ndarray:
+    """Weights and, last, the intercept; `added` makes the gradient over these rows (features, 1, y, n) that over all."""
+    w = np.zeros(len(FEATURES) + 1)
     for _ in range(epochs if total else 0):
-        if many <= most:
-            g = slopes(x, y, n, w, b)
-        else:
-            g = np.array([math.fsum(c) for c in zip(*[r["g"] for r in parts.mapInArrow(_gradients(w, b), "g array<double>").collect()])])
-        w = np.maximum(0.0, w - rate * (g[:-1] / total + l2 * w))
-        b -= rate * float(g[-1]) / total
-    blocks.unpersist()
-    spark = features.sparkSession
-    return spark.createDataFrame([*zip(FEATURES, map(float, w)), ("intercept", float(b))], "feature string, weight double")
+        g = slopes(rows, w)
+        g = (added(g) if added else g) / total
+        g[:-1] += l2 * w[:-1]
+        w -= rate * g
+        w[:-1] = np.maximum(0.0, w[:-1])
+    return w
 
 
-def slopes(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-    """The summed gradient of the logistic loss by the weights and, last, the intercept; each row stands for n."""
-    error = n * (1 / (1 + np.exp(-(x @ w + b))) - y)
-    return np.append(x.T @ error, error.sum())
+#: Rows whose gradient is taken at once, 56 bytes each.
+BLOCK = 1 << 13
 
 
-#: Rows of a block, 48 bytes each.
-BLOCK = 1 << 16
+def slopes(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The summed gradient of the logistic loss; each row stands for n."""
+    g = np.zeros(len(w))
+    for at in range(0, len(rows), BLOCK):
+        block = rows[at : at + BLOCK]
+        x, y, n = block[:, :-2], block[:, -2], block[:, -1]
+        g += (n * (1 / (1 + np.exp(-(x @ w))) - y)) @ x
+    return g
 
 
-def _blocker(features: list[str], size: int = BLOCK):
-    """Rows in blocks of `size` or a few more, each block's columns as bytes."""
+def _descent(total: float, epochs: int, rate: float, l2: float, together: bool):
+    """The descent over the rows of all tasks, which the first returns; rows lie in a file without a name, which memory maps."""
 
     def run(batches):
+        import tempfile
+        from contextlib import ExitStack
+
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        def block():
-            table = pa.Table.from_batches(held)
-            columns = [np.stack([table.column(f).to_numpy() for f in features], 1), *(table.column(c).to_numpy().astype(float) for c in ("y", "n"))]
-            arrays = [pa.array([c.tobytes()], pa.binary()) for c in columns]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([table.num_rows]), pa.array([int(columns[2].sum())])], names=["x", "y", "n", "many", "total"])
-
-        held, many = [], 0
-        for batch in batches:
-            held.append(batch)
-            many += batch.num_rows
-            if many >= size:
-                yield block()
-                held, many = [], 0
-        if many:
-            yield block()
+        with tempfile.TemporaryFile() as file, ExitStack() as stack:
+            many = sum(file.write(np.stack([c.to_numpy() for c in batch.columns], 1).tobytes()) for batch in batches) // (8 * (len(FEATURES) + 3))
+            file.flush()
+            shape = (many, len(FEATURES) + 3)
+            rows = np.memmap(file, float, "r", shape=shape) if many else np.zeros(shape)
+            w = descend(rows, total, epochs, rate, l2, _adder(stack) if together else None)
+        if TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["w"])
 
     return run
 
 
-def _gradients(w: np.ndarray, b: float):
-    """The sum of the blocks' gradients."""
+def _adder(stack):
+    """Adds up an array of each task of a barrier stage, to the same sum in all; the first task adds, the others have a connection to it.
 
-    def run(batches):
-        import pyarrow as pa
-
-        g = np.zeros(len(w) + 1)
-        for batch in batches:
-            for x, y, n in zip(*batch.to_pydict().values()):
-                g += slopes(np.frombuffer(x).reshape(-1, len(w)), np.frombuffer(y), np.frombuffer(n), w, b)
-        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], names=["g"])
-
-    return run
+    (allGather waits a second each time, so it only tells where the first task listens.)
+    """
+    import secrets
+    import socket
+
+    from pyspark import BarrierTaskContext
+
+    task = BarrierTaskContext.get()
+    first, infos = task.partitionId() == 0, task.getTaskInfos()
+    host = infos[0].address.rpartition(":")[0].strip("[]")
+    if first:
+        server = stack.enter_context(socket.create_server(("", 0), family=socket.AF_INET6 if ":" in host else socket.AF_INET, backlog=len(infos)))
+    port, token = task.allGather(f"{server.getsockname()[1]} {secrets.token_hex(16)}" if first else "")[0].split()
+    others = []
+
+    def opened(link):
+        link.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        return stack.enter_context(stack.enter_context(link).makefile("rwb"))
+
+    def send(file, what):
+        file.write(what)
+        file.flush()
+
+    if first:
+        while len(others) < len(infos) - 1:
+            file = opened(server.accept()[0])
+            if file.read(len(token)) == token.encode():  # else it is none of the tasks
+                others.append(file)
+    else:
+        hub = opened(socket.create_connection((host, int(port))))
+        send(hub, token.encode())
+
+    def added(g):
+        if not first:
+            send(hub, g.tobytes())
+            return np.frombuffer(hub.read(g.nbytes)).copy()
+        each = [g, *(np.frombuffer(file.read(g.nbytes)) for file in others)]
+        out = np.array([math.fsum(c) for c in zip(*each, strict=True)])  # exact, so the order of the tasks is nothing to it
+        for file in others:
+            send(file, out.tobytes())
+        return out
+
+    return added

@@ -282,7 +282,7 @@ def ship_gates(spark, sf_dir):
 
 @query("calibrator_fit")
 def calibrator_fit(spark, sf_dir):
-    return score.fit(_truth(spark, sf_dir), "y", epochs=400)
+    return score.fit(_truth(spark, sf_dir), "y")
 
 
 # the atlas over the references and the children's parents

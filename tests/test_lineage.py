@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions import expr, names
 from kinspark.operators import claims, extract, graph, metrics, mixture, sampling, score, store
+from kinspark.plans import catalogue, zoo_queries
 from kinspark.session import LineageSession
 from kinspark.sources import files, tensors
 
@@ -116,6 +117,22 @@ def test_calibrator_fits_more_pairs_than_are_gathered(spark):
     assert [r["weight"] for r in score.fit(rows.filter("false"), "y", epochs=20, most=0).collect()] == [0.0] * 5
 
 
+def test_calibrator_query_takes_all_epochs(spark, tmp_path):
+    """The query's weights are those of 4000 epochs over its labelled pairs, and the same if the pairs stay where they are."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=64)], i % 10) for i in range(70)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = zoo_queries._truth(spark, str(tmp_path)).select(*[F.coalesce(f, F.lit(score.NEUTRAL[f])).alias(f) for f in score.FEATURES], "y").localCheckpoint()
+    held = np.array(pairs.collect(), float)
+    x, y, w, b = held[:, :4], held[:, 4], np.zeros(4), 0.0
+    for _ in range(4000):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = np.maximum(0.0, w - 0.5 * (x.T @ error / len(x) + 1e-3 * w)), b - 0.5 * error.mean()
+    got = catalogue.QUERIES["calibrator_fit"](spark, str(tmp_path)).collect()
+    assert [r["weight"] for r in got] == pytest.approx([*w, b], abs=1e-9)
+    assert [r["weight"] for r in score.fit(pairs, "y", most=100).collect()] == pytest.approx([*w, b], abs=1e-9)
+
+
 def test_mixture_recovers_weights(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
